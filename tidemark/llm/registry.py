@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, line_dedup, mixing
+from tidemark.llm import bpe, exact_dedup, fertility, line_dedup, mixing
 
 
 def queries() -> dict:
     return {
+        "op1_tokeniser_fertility": fertility.op1_tokeniser_fertility,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op6_byte_bpe": bpe.op6_byte_bpe,
     }
 
 

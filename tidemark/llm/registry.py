@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, fertility, line_dedup, mixing
+from tidemark.llm import bpe, exact_dedup, fertility, langid, line_dedup, mixing, token_counts, token_files
 
 
 def queries() -> dict:
@@ -11,7 +11,10 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op5_token_files": token_files.op5_token_files,
         "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op9_token_counts": token_counts.op9_token_counts,
+        "op10_language_id": langid.op10_language_id,
     }
 
 

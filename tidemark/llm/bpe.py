@@ -161,7 +161,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", vocabulary: str | Non
     added = [T.StructField("n_tokens", T.LongType())] + (
         [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
         if digests
-        else [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())]
+        else [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
     )
     names = {f.name for f in added}
     schema = T.StructType([docs.schema[c] for c in kept if c not in names] + added)
@@ -178,7 +178,8 @@ def encode_decode(docs: DataFrame, text_col: str = "text", vocabulary: str | Non
                 columns.append(pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in listed], pa.string()))
                 columns.append(pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in listed], pa.string()))
             else:
-                columns.append(pa.array(listed, pa.list_(pa.int32())))
+                ends = np.cumsum([0, *map(len, ids)])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())))
                 columns.append(pa.array([encoder.decode(x) for x in listed], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=keep + [f.name for f in added])
 

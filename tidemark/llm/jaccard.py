@@ -321,5 +321,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of docs that are the smallest id of their component; rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col, width)
+    first = found.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
+    return docs.join(first, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))

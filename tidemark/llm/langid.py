@@ -20,10 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import common, spans
 
 SIZE, WIDEST, SAMPLE = 300, 4, 2000
+#: Texts that share next to nothing with any profile score below this.
+LEAST_SCORE = 0.1
 UNKNOWN = "und"
 
 
@@ -127,10 +130,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return Profiles(found, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", widest: int = WIDEST) -> DataFrame:
-    """docs with lang_pred and score. Columns of these names are replaced."""
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", widest: int = WIDEST, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with pred_col and score_col. Columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in (pred_col, score_col)]
     source = docs.select(*keep)
 
     def run(batches):
@@ -139,11 +142,15 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", widest
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             near = [known.nearest(ranked(x, known.size)) for x in _by_text(texts, widest)]
             added = [pa.array([x for x, _ in near], pa.string()), pa.array([x for _, x in near], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*keep, pred_col, score_col])
 
-    from pyspark.sql import types as T
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+def accepted(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is in a known language: it has letters, and some profile is near enough."""
+    named = identify(docs, profiles, text_col, pred_col="_lang_pred", score_col="_score")
+    return named.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang_pred", "_score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

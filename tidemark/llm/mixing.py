@@ -113,6 +113,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return timed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", total.cast("long").alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it. Rows of one id and size are taken alike."""
+    taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
+    counts = taken.groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.min((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
+    here = F.col(id_col).eqNullSafe(F.col("_id")) & (common.words(F.col(text_col)) == F.col("_size"))
+    joined = docs.join(counts, here).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return joined.select(*(docs[c] for c in docs.columns))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir))
 

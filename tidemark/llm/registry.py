@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, fertility, langid, line_dedup, mixing, token_counts, token_files
+from tidemark.llm import bpe, exact_dedup, fertility, jaccard, langid, line_dedup, mixing, secrets, token_counts, token_files
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_token_files": token_files.op5_token_files,
         "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_language_id": langid.op10_language_id,
     }

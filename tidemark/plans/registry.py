@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.plans import series_queries
+
+MODULES = [series_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in MODULES for name, run in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

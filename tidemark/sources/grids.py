@@ -50,7 +50,10 @@ MISSING = ("nan", "na", "", "-999")
 
 
 def two_header_csv(lines: DataFrame) -> DataFrame:
-    """Data lines of a CSV with a line of names and a line of units: n, cells; ragged lines are dropped. lines: n, line."""
+    """Data lines of a CSV with a line of names and a line of units: n, c; ragged lines are dropped. lines: n, line.
+
+    Take cells with get(): a projection may run before ragged lines are gone.
+    """
     width = F.size(F.split(F.min_by("line", "n"), ",", -1))
     wide = lines.agg(width.alias("w"))
     rows = lines.where("n >= 2").select("n", F.split("line", ",", -1).alias("c"))

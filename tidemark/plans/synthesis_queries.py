@@ -45,8 +45,8 @@ def _(p):
     return Y.hovmoller(p)
 
 
-@query("forecast_central", f"""la AS (SELECT max(month_idx) AS at, coalesce(arg_max_null(value, month_idx), 0.5) AS now FROM points WHERE indicator_id = 'nino34'), k AS (SELECT unnest(range(12)) AS k)
-SELECT k::INT AS k, {month('(at + k)')} AS month, {rd('now * exp(-k / 6.0::DOUBLE) + 0.15::DOUBLE * cos(2 * pi() * ((at + k) % 12 - 11) / 12.0::DOUBLE)')} AS central FROM la CROSS JOIN k""")
+@query("forecast_central", f"""la AS (SELECT max(month_idx) AS m0, coalesce(arg_max_null(value, month_idx), 0.5) AS now FROM points WHERE indicator_id = 'nino34'), k AS (SELECT unnest(range(12)) AS k)
+SELECT k::INT AS k, {month('(m0 + k)')} AS month, {rd('now * exp(-k / 6.0::DOUBLE) + 0.15::DOUBLE * cos(2 * pi() * ((m0 + k) % 12 - 11) / 12.0::DOUBLE)')} AS central FROM la CROSS JOIN k""")
 def _(p):
     return Y.forecast(p).select("k", "month", "central")
 

@@ -25,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op3_line_dedup": line_dedup.ORACLE,
         "op4_source_mixing": mixing.ORACLE,
+        "op8_ngram_jaccard": jaccard.ORACLE,
     }

@@ -64,7 +64,7 @@ def evaluate(v: Column, policy: str) -> Column:
 
 
 def classify_by_rules(values: DataFrame, rules: DataFrame, value_col: str = "value") -> DataFrame:
-    """The first matching rule per row, by a join on the policy and its limits; the rule table is small and fixed."""
+    """The first matching rule of each distinct row, by a join on the policy and its limits; the rule table is small and fixed."""
     v = F.col(value_col)
     fits = (
         (F.col("least").isNull() | F.when(F.col("least_in"), v >= F.col("least")).otherwise(v > F.col("least")))

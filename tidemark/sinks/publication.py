@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 
 
+#: Temporary folders of sessions without one of their own, as in tests.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
+    found = spark.conf.get("spark.checkpoint.dir", "") or _own.get(app := spark.sparkContext.applicationId, "")
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return found.rstrip("/")
 
 

@@ -18,16 +18,16 @@ def extract_periods(points: DataFrame, threshold: float = 0.5, strict_end: bool
     known or not; strict_end ends it with its own last month instead. The peak is the first month of the largest size.
     """
     w = Window.partitionBy("indicator_id").orderBy("month_idx")
-    last = points.groupBy("indicator_id").agg(F.max("month_idx").alias("last_idx"))
-    known = points.where("value is not null").withColumn("phase", S.phase(F.col("value"), threshold))
+    rows = points.withColumn("last_idx", F.max("month_idx").over(Window.partitionBy("indicator_id")))
+    known = rows.where("value is not null").withColumn("phase", S.phase(F.col("value"), threshold))
     turned = known.withColumn("turn", F.coalesce(F.lag("phase").over(w) != F.col("phase"), F.lit(True)).cast("int")).withColumn("next_idx", F.lead("month_idx").over(w))
     islands = turned.withColumn("island", F.sum("turn").over(w))
     peak = F.min_by(F.struct("value", "month_idx"), F.struct(-F.abs("value"), F.col("month_idx")))
     runs = islands.where("phase <> 'Neutral'").groupBy("indicator_id", "island", "phase").agg(
-        F.min("month_idx").alias("start_idx"), F.max("month_idx").alias("own_end"), F.max_by("next_idx", "month_idx").alias("break_idx"), peak.alias("peak")
+        F.min("month_idx").alias("start_idx"), F.max("month_idx").alias("own_end"), F.max_by("next_idx", "month_idx").alias("break_idx"), F.max("last_idx").alias("last_idx"), peak.alias("peak")
     )
     end = F.col("own_end") if strict_end else F.coalesce("break_idx", "last_idx")
-    return runs.join(last, "indicator_id").select(
+    return runs.select(
         "indicator_id", "phase", "start_idx", end.alias("end_idx"), F.col("peak.month_idx").alias("peak_idx"), F.col("peak.value").alias("peak"),
         S.month_span(F.col("start_idx"), end).alias("duration"),
     )

@@ -41,10 +41,8 @@ def monthly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def on_spine(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with a row for every month between the first and the last of all keys; months without a reading are null."""
-    reach = rows.agg(F.min("month_idx").alias("a"), F.max("month_idx").alias("b")).first()
-    if reach["a"] is None:
-        return rows
-    spine = rows.select(*keys).distinct().withColumn("month_idx", F.explode(F.sequence(F.lit(reach["a"]), F.lit(reach["b"]))))
+    reach = rows.agg(F.min("month_idx").alias("a"), F.max("month_idx").alias("b"))
+    spine = rows.select(*keys).distinct().join(F.broadcast(reach)).select(*keys, F.explode(F.sequence("a", "b")).alias("month_idx"))
     return spine.join(rows, [*keys, "month_idx"], "left")
 
 

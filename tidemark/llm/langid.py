@@ -110,8 +110,12 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)).alias("_draw")
     )
-    shares = rows.groupBy("_lang").agg((F.lit(float(sample) * (1 << 20)) / F.count(F.lit(1))).alias("_below"))
-    chosen = rows.join(shares, "_lang").where("_draw < _below").select("_lang", "_text")
+    # One number per language reaches the driver and goes into the filter, so no text moves to draw the sample.
+    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return Profiles({}, size)
+    below = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, float(sample) * (1 << 20) / n)))
+    chosen = rows.where(F.col("_draw") < F.element_at(below, F.col("_lang"))).select("_lang", "_text")
 
     def count(batches):
         for batch in batches:

@@ -170,18 +170,20 @@ def encode_decode(docs: DataFrame, text_col: str = "text", vocabulary: str | Non
     def run(batches):
         encoder = _encoder(ranks.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(text_col).to_pylist()]
-            ids = encoder.encode(texts)
-            listed = [x.tolist() for x in ids]
-            columns = [batch.column(c) for c in keep] + [pa.array(map(len, ids), pa.int64())]
-            if digests:
-                columns.append(pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in listed], pa.string()))
-                columns.append(pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in listed], pa.string()))
-            else:
-                ends = np.cumsum([0, *map(len, ids)])
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())))
-                columns.append(pa.array([encoder.decode(x) for x in listed], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=keep + [f.name for f in added])
+            at = 0
+            for some in spans.chunks([x or "" for x in batch.column(text_col).to_pylist()]):
+                ids = encoder.encode(some)
+                listed = [x.tolist() for x in ids]
+                columns = [batch.column(c).slice(at, len(some)) for c in keep] + [pa.array(map(len, ids), pa.int64())]
+                if digests:
+                    columns.append(pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in listed], pa.string()))
+                    columns.append(pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in listed], pa.string()))
+                else:
+                    ends = np.cumsum([0, *map(len, ids)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32), pa.int32())))
+                    columns.append(pa.array([encoder.decode(x) for x in listed], pa.binary()))
+                at += len(some)
+                yield pa.RecordBatch.from_arrays(columns, names=keep + [f.name for f in added])
 
     return docs.mapInArrow(run, schema)
 

@@ -35,11 +35,11 @@ from tidemark.llm.components import components
 WIDTH = 5
 #: A link needs 4 * intersection >= 3 * union, which is 7 * intersection >= 3 * (sum of sizes).
 #: N-grams of one fragment, on average, and fragments at least.
-FRAGMENT, LEAST_FRAGMENTS = 4_000_000, 24
+FRAGMENT, LEAST_FRAGMENTS = 2_000_000, 24
 #: An n-gram is counted beforehand if a task meets it in this share of a batch's documents.
 HOT_SHARE, HOT_LEAST = 512, 1000
 #: N-grams that a task packs at once, and documents.
-PACK, PACK_DOCS = 4_000_000, 60_000
+PACK, PACK_DOCS = 1_500_000, 60_000
 #: Fragments in which a pair's overlap is counted.
 OVERLAP_BITS = 2
 

@@ -44,11 +44,6 @@ def let(value: Column, body) -> Column:
 
 def matches(text: Column, pattern: str, group: int, least: int, kind: int, with_text: bool = False) -> Column:
     """Spans of the matches whose group has `least` characters: array of start, kind, end, and the text."""
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"),
-        F.split(text, pattern, -1).alias("before"),
-    )
     kept = "array<struct<start:int,kind:int,end:int" + (",text:string>>" if with_text else ">>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -58,7 +53,15 @@ def matches(text: Column, pattern: str, group: int, least: int, kind: int, with_
         added = F.when(F.length(x["g"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("pos"), added.cast(kept).alias("out")))
 
-    return F.aggregate(found, F.struct(F.lit(0).alias("pos"), F.array().cast(kept).alias("out")), step, lambda acc: acc["out"])
+    none = F.array().cast(kept)
+
+    def placed(m: Column) -> Column:
+        # Most texts have no match; only the others are searched for groups and split.
+        groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else m
+        found = F.arrays_zip(m.alias("m"), groups.alias("g"), F.split(text, pattern, -1).alias("before"))
+        return F.when(F.size(m) == 0, none).otherwise(F.aggregate(found, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"]))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def upper_tail(z: Column) -> Column:

@@ -33,7 +33,7 @@ from tidemark.llm import common, spans
 from tidemark.llm.components import components
 
 WIDTH = 5
-#: A link needs 4 * intersection >= 3 * union, which is 7 * intersection >= 3 * (sum of sizes).
+# A link needs 4 * intersection >= 3 * union, which is 7 * intersection >= 3 * (sum of sizes).
 #: N-grams of one fragment, on average, and fragments at least.
 FRAGMENT, LEAST_FRAGMENTS = 2_000_000, 24
 #: An n-gram is counted beforehand if a task meets it in this share of a batch's documents.

@@ -154,6 +154,17 @@ def test_jaccard_with_hot_ngrams_and_far_copies(spark, monkeypatch):
     assert found == {k: c for k, (c, _) in want.items()}
 
 
+def test_jaccard_of_more_short_texts_in_a_task_than_16_bits_number(spark):
+    # Six Arrow batches hold 59,999 distinct texts, the seventh 10,000 more; copies are the last ten pairs.
+    n, pairs = 70_000, 10
+    ten = F.concat_ws(" ", *(F.concat(F.lit(f"{c}x"), F.floor(F.col("id") / 2).cast("string")) for c in "abcdefghij"))
+    short = F.when(F.col("id") == 1, "t0").otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+    text = F.when(F.col("id") < n - 2 * pairs, short).otherwise(F.concat(ten, F.when(F.col("id") % 2 == 1, " more").otherwise("")))
+    df = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).where("component_id <> doc_id").collect()}
+    assert found == {1: 0, **{i: i - 1 for i in range(n - 2 * pairs + 1, n, 2)}}
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (7, 7)]
     random.Random(2).shuffle(edges)

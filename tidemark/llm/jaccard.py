@@ -149,9 +149,10 @@ def segments(docs: DataFrame, id_col: str, text_col: str, width: int, fragments:
                     if len(s) and (key := fingerprint(s)) not in held:
                         held[key] = s
                         total += len(s)
-                if total >= PACK or len(held) >= PACK_DOCS:
-                    yield flush()
-                    held, total = {}, 0
+                        # After each set, as owners are 16 bits.
+                        if total >= PACK or len(held) >= PACK_DOCS:
+                            yield flush()
+                            held, total = {}, 0
         if held:
             yield flush()
 

@@ -100,6 +100,21 @@ def test_token_files_round_trip(spark, corpus, empty, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(empty, other), other).count() == 0
 
 
+def test_token_files_give_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    model, mark = Tokenizer.from_file(token_files.default_vocabulary()), "<|endoftext|>"
+    texts = [f"x {mark} y", mark, f"{mark}{mark}  \n", f"a  {mark}\t b'{mark}ll <|endoftext>", None, "", "plain  text"]
+    folder = str(tmp_path / "files")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = token_files.read_token_files(token_files.write_token_files(df, folder, sequence=8, per_batch=2), folder).orderBy("doc_id").collect()
+    want = [[*model.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert want[0] == [87, 220, 50256, 331, 0]
+    assert [r["n_tokens"] for r in found] == [len(x) for x in want]
+    assert [r["start"] for r in found] == [sum(map(len, want[:i])) for i in range(len(want))]
+    assert [r["ids_crc32"] for r in found] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+
+
 def sets_of(text):
     w = [a.lower() for a in (text or "").encode().split()]
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

@@ -10,6 +10,8 @@ Documents are range-partitioned by id, so each task writes the files of one rang
 in order. A task writes under a name of its attempt and renames at the end, so a lost executor leaves no half file.
 The manifest, a row per file, is all that later steps need; offsets are sums over the manifest.
 
+Texts are cut at the vocabulary's added tokens first, which get their own ids, as the library does by default.
+
 Defined cases: a null text is empty and still gets its end id; null ids come first; rows that repeat an id follow one
 another, ordered by a hash of their texts; an empty table writes no file.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import uuid
 import zlib
 
@@ -42,15 +45,28 @@ def default_vocabulary() -> str:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(vocabulary: str):
-    """Ids of spans by the tokenizers library, each distinct pre-token once; and the type that holds every id."""
+    """Ids of spans by the tokenizers library, each distinct pre-token once; the type that holds every id; the added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_str(vocabulary)
-    model.encode_special_tokens = True
     kind = np.uint16 if model.get_vocab_size() <= 1 << 16 else np.uint32
-    return spans.Resolved(lambda tokens: [x.ids for x in model.encode_batch_fast(tokens, add_special_tokens=False)]), kind
+    added = model.get_added_tokens_decoder()
+    if any(x.single_word or x.lstrip or x.rstrip for x in added.values()):
+        raise ValueError("added tokens that take in their surroundings are not supported")
+    resolved = spans.Resolved(lambda tokens: [x.ids for x in model.encode_batch_fast(tokens, add_special_tokens=False)])
+    return resolved, kind, {x.content: i for i, x in added.items()}
+
+
+def cut_at(texts: list[str], added: dict[str, int], end_id: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts cut at added tokens, the longest first: pieces, the id after each (end_id after a text), pieces of each text."""
+    if not any(x in t for x in added for t in texts):
+        return texts, np.full(len(texts), end_id), np.ones(len(texts), np.int64)
+    pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    cuts = [pattern.split(t) for t in texts]
+    after = [i for c in cuts for i in (*(added[x] for x in c[1::2]), end_id)]
+    return [x for c in cuts for x in c[0::2]], np.array(after), np.array([len(c) // 2 + 1 for c in cuts])
 
 
 class _Writer:
@@ -113,16 +129,17 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         from pyspark import TaskContext
 
         part, writer = TaskContext.get().partitionId(), None
-        resolved, kind = _encoder(model.value)
+        resolved, kind, added = _encoder(model.value)
         for batch in batches:
             at = 0
             for some in spans.chunks(batch.column("_text").to_pylist()):
-                points, text_ends = spans.joined(some)
+                pieces, after, many = cut_at(some, added, end_id)
+                points, piece_ends = spans.joined(pieces)
                 starts, ends = spans.pretokens(points)
                 ids, size = resolved.ids(points, starts, ends)
-                upto = np.concatenate(([0], np.cumsum(size)))[spans.per_text(starts, text_ends)]
-                ids = np.insert(ids, upto, end_id)
-                sizes = np.diff(upto, prepend=0) + 1
+                upto = np.concatenate(([0], np.cumsum(size)))[spans.per_text(starts, piece_ends)]
+                ids = np.insert(ids, upto, after)
+                sizes = np.diff(upto[np.cumsum(many) - 1], prepend=0) + many
                 writer = writer or _Writer(folder, part, kind, end_id, sequence, per_batch)
                 writer.add(batch.column("_id").slice(at, len(some)), ids, sizes)
                 at += len(some)

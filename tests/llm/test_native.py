@@ -137,3 +137,22 @@ def test_battery_tells_keys_from_words(spark):
     found = {x["doc_id"] for x in rows(secrets.find_secrets(df)) if x["every"]}
     assert sum(i in found for i in range(len(keys))) >= 0.95 * len(keys)
     assert sum(i in found for i in range(len(keys), len(keys + words))) <= 0.02 * len(words)
+
+
+def test_battery_finds_keys_of_one_case_and_parts_of_runs(spark):
+    import random
+    import string
+
+    r = random.Random(2)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    low, up = string.ascii_lowercase, string.ascii_uppercase
+    kinds = [low + string.digits, up + string.digits, low + "234567"]
+    keys = [draw(k, n) for k in kinds for n in (24, 32, 40, 64) for _ in range(20)]
+    runs = [f"home/{draw('etaoin', 9)}/live_{draw(k, 32)}" for k in kinds + [low + up + string.digits] for _ in range(20)]
+    words = [draw("etaoinshrdlu", r.randint(20, 40)) for _ in range(300)] + ["some/long_path/with-words/of_some_kind_in_it"]
+    df = spark.createDataFrame([(i, f"x {w} y") for i, w in enumerate(keys + runs + words)], "doc_id long, text string")
+    found = {x["doc_id"]: [tuple(s) for s in x["every"]] for x in rows(secrets.find_secrets(df))}
+    assert sum(found[i] == [(2, 3, 2 + len(w))] for i, w in enumerate(keys)) >= 0.95 * len(keys)
+    # A run whose prefix and key together hold both cases may pass for base64 as a whole.
+    assert sum(any(a <= 2 + len(w) - 32 and b == 2 + len(w) for a, _, b in found[i]) for i, w in enumerate(runs, len(keys))) >= 0.95 * len(runs)
+    assert sum(bool(found[i]) for i in range(len(keys + runs), len(keys + runs + words))) <= 0.02 * len(words)

@@ -1,7 +1,8 @@
 """Secrets in texts, found by patterns and by a battery of randomness tests.
 
 Patterns find assigned values, access keys and hexadecimal keys. Beside them, every long run of key characters is
-a candidate whose encoding is inferred, and which is tested as a random string of that encoding: chi-squared uniformity
+a candidate whose encoding is inferred, and which is tested as a random string of that encoding; so is each long part of
+a run between / _ -, as keys stand in paths and behind prefixes. The tests: chi-squared uniformity
 over the alphabet and over its classes of characters, a runs test about the middle of the alphabet, and serial
 correlation. The smallest p-value, times the number of tests, is the candidate's. By each encoding and class of length,
 Benjamini and Hochberg's rule tells which candidates are not random, so that many short words don't move the limit for
@@ -11,7 +12,7 @@ a count by class and bin, of bounded size, replaces a global sort.
 All of it is arithmetic on columns of the document's row: no text shuffles and nothing is exploded but bin numbers.
 
 Defined cases: a null or empty text has no spans; spans are in code points, ends exclusive; a candidate that touches
-a span of a pattern adds none; rows that repeat an id stand for themselves.
+a span of a pattern adds none; a part within a run that is a secret adds none; rows that repeat an id stand for themselves.
 """
 
 from __future__ import annotations
@@ -28,10 +29,21 @@ PATTERNS = [
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
 KINDS = [name for name, *_ in PATTERNS] + ["random"]
-CANDIDATE, LEAST_BITS = r"[A-Za-z0-9+/_-]{20,}", 80
+CANDIDATE, PART, LEAST_BITS = r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9+]{20,}", 80
 #: Alphabets in order, and the sizes of their classes of characters: upper case, lower case, digits, others.
-BASE64 = common.UPPER + common.UPPER.lower() + "0123456789+/"
-ALPHABETS = {"hex": ("0123456789abcdef", (0, 6, 10, 0)), "base32": (common.UPPER + "234567", (26, 0, 6, 0)), "base64": (BASE64, (26, 26, 10, 2))}
+LOWER, DIGITS = common.UPPER.lower(), "0123456789"
+ALPHABETS = {
+    "hex": ("0123456789abcdef", (0, 6, 10, 0)),
+    "base32": (common.UPPER + "234567", (26, 0, 6, 0)), "lower32": (LOWER + "234567", (0, 26, 6, 0)),
+    "upper36": (common.UPPER + DIGITS, (26, 0, 10, 0)), "lower36": (LOWER + DIGITS, (0, 26, 10, 0)),
+    "base62": (common.UPPER + LOWER + DIGITS, (26, 26, 10, 0)), "base64": (common.UPPER + LOWER + DIGITS + "+/", (26, 26, 10, 2)),
+}
+#: The first that a string matches is its encoding; base64 if none.
+SHAPES = [
+    ("hex", "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$"), ("hex", "^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$"),
+    ("base32", "^(?=.*[2-7])[A-Z2-7]+$"), ("lower32", "^(?=.*[2-7])[a-z2-7]+$"),
+    ("upper36", "^(?=.*[0-9])[A-Z0-9]+$"), ("lower36", "^(?=.*[0-9])[a-z0-9]+$"), ("base62", "^[A-Za-z0-9]+$"),
+]
 #: First lengths of the classes of length, bins of a factor of two of p, and the rate of false discoveries.
 LENGTHS, BINS, RATE = (20, 28, 40, 64), 8, 0.05
 LEAST_P = 1e-9
@@ -79,17 +91,21 @@ def chi_tail(x: Column, df: Column) -> Column:
 
 
 def encoding(s: Column) -> Column:
-    return F.when(s.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$") | s.rlike("^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$"), "hex").when(s.rlike("^(?=.*[2-7])[A-Z2-7]+$"), "base32").otherwise("base64")
+    return F.coalesce(*(F.when(s.rlike(shape), name) for name, shape in SHAPES), F.lit("base64"))
+
+
+def of_encoding(enc: Column, values: dict) -> Column:
+    return F.coalesce(*(F.when(enc == name, F.lit(x)) for name, x in values.items()))
 
 
 def p_value(s: Column, enc: Column) -> Column:
     """How likely a random string of this encoding looks as uneven as s."""
-    size = F.when(enc == "hex", 16.0).when(enc == "base32", 32.0).otherwise(64.0)
+    size = of_encoding(enc, {name: float(len(alphabet)) for name, (alphabet, _) in ALPHABETS.items()})
+    letters = of_encoding(enc, {name: alphabet for name, (alphabet, _) in ALPHABETS.items()})
     chars = F.split(F.when(enc == "hex", F.lower(s)).otherwise(F.translate(s, "-_", "+/")), "")
 
     def place(c: Column) -> Column:
-        at = F.when(enc == "hex", F.instr(F.lit(ALPHABETS["hex"][0]), c)).when(enc == "base32", F.instr(F.lit(ALPHABETS["base32"][0]), c))
-        return (at.otherwise(F.instr(F.lit(BASE64), c)) - 1).cast("double")
+        return (F.instr(letters, c) - 1).cast("double")
 
     def tests(v: Column) -> Column:
         n = F.size(v).cast("double")
@@ -164,11 +180,20 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"),
                 F.concat_ws(":", enc, length.cast("string")).alias("cls"),
                 F.floor(-F.log2(p) * BINS).cast("int").alias("bin"),
-                (n * F.when(enc == "hex", 4).when(enc == "base32", 5).otherwise(6)).alias("bits"),
+                (n * of_encoding(enc, {name: len(alphabet).bit_length() - 1 for name, (alphabet, _) in ALPHABETS.items()})).alias("bits"),
             )
 
         return let(encoding(c["text"]), whole)
 
+    def parts(c: Column) -> Column:
+        # The parts of a run that has several.
+        inside = F.transform(
+            matches(c["text"], PART, 0, 20, len(PATTERNS), True),
+            lambda x: F.struct((c["start"] + x["start"]).alias("start"), x["kind"].alias("kind"), (c["start"] + x["end"]).alias("end"), x["text"].alias("text")),
+        )
+        return F.when(c["text"].rlike("[/_-]"), inside).otherwise(F.filter(F.array(c), lambda x: F.lit(False)))
+
+    found = found.select("_id", "base", F.concat("cand", F.flatten(F.transform("cand", parts))).alias("cand"))
     free = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return found.select("_id", "base", F.transform(free, measured).alias("cand"))
 
@@ -204,7 +229,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rejected = rejected | ((c["cls"] == cls) & (c["bin"] >= least))
         return ~rejected & (c["bits"] >= LEAST_BITS)
 
-    added = F.transform(F.filter("cand", stays), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    def outermost(kept: Column) -> Column:
+        return F.filter(kept, lambda c: ~F.exists(kept, lambda k: (k["start"] <= c["start"]) & (c["end"] <= k["end"]) & (c["end"] - c["start"] < k["end"] - k["start"])))
+
+    added = F.transform(let(F.filter("cand", stays), outermost), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     return scans.select(F.col("_id").alias(id_col), "base", F.array_sort(F.concat("base", added)).alias("every"))
 
 

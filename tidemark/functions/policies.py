@@ -63,19 +63,26 @@ def evaluate(v: Column, policy: str) -> Column:
     return F.when(v.isNull() | F.isnan(v), none).otherwise(found)
 
 
+def classified(v: Column, bands: list[tuple[str, float, float]]) -> Column:
+    """The label of the first band with least <= v < most; the edge of an open last band counts; null when none holds."""
+    inf = float("inf")
+    hits = [F.when((v >= least) & (v < most), label) for label, least, most in bands] + [F.when(v == inf, label) for label, _, most in bands if most == inf]
+    return F.when(v.isNotNull() & ~F.isnan(v), F.coalesce(*hits, F.lit(None).cast("string")))
+
+
 def classify_by_rules(values: DataFrame, rules: DataFrame, value_col: str = "value") -> DataFrame:
-    """The first matching rule of each distinct row, by a join on the policy and its limits; the rule table is small and fixed."""
+    """The first matching rule of each row. The rules of a policy are one array, joined by the policy; their table is small and fixed."""
     v = F.col(value_col)
-    fits = (
-        (F.col("least").isNull() | F.when(F.col("least_in"), v >= F.col("least")).otherwise(v > F.col("least")))
-        & (F.col("most").isNull() | F.when(F.col("most_in"), v <= F.col("most")).otherwise(v < F.col("most")))
-    )
-    keys = values.columns
-    joined = values.join(F.broadcast(rules), (values["policy"] == rules["policy"]) & fits, "left").drop(rules["policy"])
-    first = joined.groupBy(*keys).agg(F.min(F.when(F.col("ord").isNotNull(), F.struct("ord", "label", "color"))).alias("rule"))
-    return first.select(
-        *keys,
-        F.when(v.isNull(), NO_DATA).otherwise(F.coalesce("rule.label", F.lit(UNCLASSIFIED))).alias("label"),
-        F.coalesce("rule.color", F.lit(NO_COLOUR)).alias("color"),
-        F.col("rule").isNull().alias("unclassified"),
+    listed = rules.groupBy("policy").agg(F.sort_array(F.collect_list(F.struct("ord", "label", "color", "least", "most", "least_in", "most_in"))).alias("_rules"))
+
+    def fits(r: Column) -> Column:
+        low = r["least"].isNull() | F.when(r["least_in"], v >= r["least"]).otherwise(v > r["least"])
+        return low & (r["most"].isNull() | F.when(r["most_in"], v <= r["most"]).otherwise(v < r["most"]))
+
+    joined = values.join(F.broadcast(listed), "policy", "left").withColumn("_rule", F.get(F.filter("_rules", fits), 0))
+    return joined.select(
+        *values.columns,
+        F.when(v.isNull(), NO_DATA).otherwise(F.coalesce("_rule.label", F.lit(UNCLASSIFIED))).alias("label"),
+        F.coalesce("_rule.color", F.lit(NO_COLOUR)).alias("color"),
+        F.col("_rule").isNull().alias("unclassified"),
     )

@@ -194,3 +194,28 @@ def plain_text(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+# Short names of months in Spanish, and the signs of units.
+MONTHS_SHORT_ES = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
+UNIT_SIGNS = {"degC": "°C", "m": "m", "m_per_s": "m/s"}
+
+
+def month_label(month: Column) -> Column:
+    """YYYY-MM as a short Spanish month and its year."""
+    return F.concat_ws(" ", F.get(F.array(*map(F.lit, MONTHS_SHORT_ES)), F.substring(month, 6, 2).cast("int") - 1), F.substring(month, 1, 4))
+
+
+def value_label(v: Column, units: Column) -> Column:
+    """A value with its sign and unit: metres with one digit, all else with two; a plus sign where the unit is known."""
+    sign = F.coalesce(*(F.when(units == u, x) for u, x in UNIT_SIGNS.items()), F.lit(""))
+    number = F.when(units == "m", F.format_string("%.1f", F.round(v, 1) + F.lit(0.0))).otherwise(F.format_string("%.2f", F.round(v, 2) + F.lit(0.0)))
+    plus = F.when((v > 0) & (sign != ""), "+").otherwise("")
+    return F.when(v.isNull() | F.isnan(v), "Sin datos").otherwise(F.rtrim(F.concat(plus, number, F.lit(" "), sign)))
+
+
+def asset_url(base: Column, name: Column) -> Column:
+    """The address of a file under a base path, with one slash between them. A line break or an empty name raises."""
+    before, after = F.regexp_replace(F.trim(base), "/+$", ""), F.regexp_replace(F.trim(name), "^/+", "")
+    bad = F.contains(base, F.lit("\n")) | F.contains(name, F.lit("\n")) | (after == "")
+    return F.when(bad, F.raise_error(F.lit("not a path"))).otherwise(F.concat_ws("/", before, after))

@@ -72,3 +72,17 @@ def scope_comparison(catalog: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("phase") == "El Niño").alias("warm"), F.count_if(F.col("phase") == "La Niña").alias("cold"),
         F.avg("duration").alias("mean_duration"), F.avg(F.abs("peak_value")).alias("mean_peak"), F.max(F.abs("peak_value")).alias("max_peak"),
     )
+
+
+def scope_table(catalog: DataFrame, points: DataFrame) -> DataFrame:
+    """Ten measures of each scope as text: scope, metric, value. Its events, its rule, and where its index stands now."""
+    rules = [(scope, indicator, threshold) for indicator, scope, threshold in HISTORY]
+    latest = points.groupBy("indicator_id").agg(F.max_by("value", "month_idx").alias("now"))
+    known = scope_comparison(catalog).join(F.broadcast(catalog.sparkSession.createDataFrame(rules, "scope string, indicator_id string, threshold double")), "scope").join(latest, "indicator_id")
+    one, two = (lambda c: F.format_string("%.1f", F.round(c, 1))), (lambda c: F.format_string("%.2f", F.round(c, 2) + F.lit(0.0)))
+    text = {
+        "events": F.col("events").cast("string"), "warm": F.col("warm").cast("string"), "cold": F.col("cold").cast("string"), "mean duration": one("mean_duration"), "mean peak": two("mean_peak"),
+        "largest peak": two("max_peak"), "threshold": F.concat(F.lit("±"), F.col("threshold").cast("string")), "persistence": F.lit("3 months"),
+        "current": F.when(F.col("now").isNull(), "-").otherwise(two("now")), "state": F.coalesce(S.phase(F.col("now"), F.col("threshold")), F.lit("-")),
+    }
+    return known.select("scope", F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in text.items()))).alias("x")).select("scope", "x.*")

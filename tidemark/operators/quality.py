@@ -14,7 +14,18 @@ FALLBACKS = [
     ("nino12", PRIMARY, "noaa-psl-nino12"), ("nino12", LOWER_CADENCE, "noaa-cpc-wksst"), ("nino12", LAST_VALID, "noaa-psl-nino12"), ("nino12", UNAVAILABLE, ""),
     ("nino34", PRIMARY, "noaa-psl-nino34"), ("nino34", LOWER_CADENCE, "noaa-cpc-wksst"), ("nino34", LAST_VALID, "noaa-psl-nino34"), ("nino34", UNAVAILABLE, ""),
     ("soi", PRIMARY, "noaa-cpc-soi"), ("soi", LAST_VALID, "noaa-cpc-soi"), ("soi", UNAVAILABLE, ""),
+    ("u850", PRIMARY, "noaa-cpc-cpac850"), ("u850", EQUIVALENT, "noaa-cpc-wpac850"), ("u850", LAST_VALID, "noaa-cpc-cpac850"), ("u850", UNAVAILABLE, ""),
+    ("d20", PRIMARY, "noaa-cpc-godas-d20"), ("d20", LAST_VALID, "noaa-cpc-godas-d20"), ("d20", UNAVAILABLE, ""),
+    ("basin_official_status", PRIMARY, "noaa-cpc-enso-advisory"), ("basin_official_status", LAST_VALID, "noaa-cpc-enso-advisory"), ("basin_official_status", UNAVAILABLE, ""),
+    ("coastal_official_status", PRIMARY, "enfen-imarpe-status"), ("coastal_official_status", LAST_VALID, "enfen-imarpe-status"), ("coastal_official_status", UNAVAILABLE, ""),
 ]
+#: What must never stand for a metric.
+PROHIBITED = [("roni", "nino34-rolling-mean"), ("roni", "oni")]
+
+
+def prohibited_uses(used: DataFrame) -> DataFrame:
+    """Rows (metric_id, source_id) whose source must not stand for the metric."""
+    return used.where(F.concat_ws(" ", "metric_id", "source_id").isin(*(f"{m} {x}" for m, x in PROHIBITED)))
 
 
 def fallback_table(spark: SparkSession) -> DataFrame:
@@ -104,26 +115,26 @@ def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def breaker_states(outcomes: DataFrame, key: str, order: str, failures: int = 5, wait_s: int = 300, successes: int = 2) -> DataFrame:
-    """The last state of each source's circuit breaker after its ordered outcomes (ok, at in seconds).
+def failure_runs(outcomes: DataFrame, key: str, order: list[str], failures: int = 5) -> DataFrame:
+    """By source: its longest run of failures, the one it is in, and whether that is long enough for an alarm. outcomes have ok.
 
-    CLOSED opens after `failures` failures in a row; OPEN lets a call pass after `wait_s`; HALF_OPEN closes after
-    `successes` good calls and opens again on a bad one.
+    Runs are sums over counts by (key, run), which Spark combines before it shuffles them.
     """
-    ordered = outcomes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), "ok"))).alias("calls"))
-    start = F.struct(F.lit("CLOSED").alias("state"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("since"))
+    turns = outcomes.withColumn("_run", F.sum(F.col("ok").cast("int")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    runs = turns.groupBy(key, "_run").agg(F.count_if(~F.col("ok")).alias("_n"))
+    found = runs.groupBy(key).agg(F.max("_n").alias("longest"), F.max_by("_n", "_run").alias("current"))
+    return found.withColumn("alarm", F.col("current") >= failures)
 
-    def step(a: Column, x: Column) -> Column:
-        def to(state: str, run: Column | int, since: Column) -> Column:
-            return F.struct(F.lit(state).alias("state"), (F.lit(run) if isinstance(run, int) else run).alias("run"), since.alias("since"))
 
-        closed = F.when(x["ok"], to("CLOSED", 0, a["since"])).when(a["run"] + 1 >= failures, to("OPEN", 0, x["at"])).otherwise(to("CLOSED", a["run"] + 1, a["since"]))
-        half = F.when(~x["ok"], to("OPEN", 0, x["at"])).when(a["run"] + 1 >= successes, to("CLOSED", 0, x["at"])).otherwise(to("HALF_OPEN", a["run"] + 1, a["since"]))
-        half_new = F.when(~x["ok"], to("OPEN", 0, x["at"])).otherwise(to("HALF_OPEN", 1, a["since"]) if successes > 1 else to("CLOSED", 0, x["at"]))
-        opened = F.when(x["at"] - a["since"] >= wait_s, half_new).otherwise(a)
-        return F.when(a["state"] == "CLOSED", closed).when(a["state"] == "HALF_OPEN", half).otherwise(opened)
+def watchdog(outcomes: DataFrame, key: str, order: list[str], as_of: Column, hours: int = 30, failures: int = 3) -> DataFrame:
+    """By source: its last success, the failures since, and an alarm when that is `hours` ago with fewer than `failures`.
 
-    return ordered.select(key, F.aggregate("calls", start, step).alias("s")).select(key, "s.state", "s.run", "s.since")
+    With more failures in a row the failures themselves are the alarm.
+    """
+    last = outcomes.where("ok").groupBy(key).agg(F.max(order[0]).alias("last"))
+    runs = failure_runs(outcomes, key, order, failures).select(key, F.col("current").alias("failures"))
+    old = (F.unix_timestamp(as_of) - F.unix_timestamp("last")) / 3600 > hours
+    return last.join(runs, key).select(key, "last", "failures", (old & (F.col("failures") < failures)).alias("alarm"))
 
 
 def latest_by(rows: DataFrame, key: str, *order: Column) -> DataFrame:

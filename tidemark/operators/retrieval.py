@@ -53,7 +53,8 @@ def grounding(questions: DataFrame, points: DataFrame) -> DataFrame:
 
 def answers(evidence: DataFrame) -> DataFrame:
     """One text per question, its lines in order of the indicators."""
-    line = F.concat_ws(" ", "indicator_id", F.coalesce(F.concat(F.col("month"), F.lit(":"), F.format_number("value", 2)), F.lit("-")), F.format_number("mean", 2))
+    two = lambda c: F.format_string("%.2f", F.round(c, 2) + F.lit(0.0))
+    line = F.concat_ws(" ", "indicator_id", F.coalesce(F.when(F.col("value").isNotNull(), F.concat(F.col("month"), F.lit(":"), two("value"))), F.lit("-")), two("mean"))
     rows = evidence.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("indicator_id", line.alias("line")))).alias("l"))
     return rows.select("question_id", F.array_join(F.transform("l", lambda x: x["line"]), "; ").alias("answer"))
 

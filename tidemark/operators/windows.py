@@ -113,6 +113,15 @@ def alert_states(points: DataFrame, threshold: float, required: int = 3) -> Data
     )
 
 
+def alert_states_of(points: DataFrame, thresholds: dict[str, float], required: int = 3) -> DataFrame:
+    """alert_states of several indicators, each by its own threshold."""
+    found = None
+    for indicator, threshold in thresholds.items():
+        part = alert_states(points.where(F.col("indicator_id") == indicator), threshold, required)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def latest_known(points: DataFrame) -> DataFrame:
     """The last known point of each indicator."""
     return points.where("value is not null").groupBy("indicator_id").agg(F.max_by(F.struct("month_idx", "month", "value", "flag"), "month_idx").alias("p")).select("indicator_id", "p.*")
@@ -138,3 +147,9 @@ def latest_preferring_final(rows: DataFrame, key: str, date: str, flag: str = "f
     """One row per key: the latest date, on which a final value beats a preliminary one."""
     w = Window.partitionBy(key).orderBy(F.desc(date), F.desc(F.col(flag) == "final"))
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def timeline(rows: DataFrame, key: str, order: list[str], what: str) -> DataFrame:
+    """rows with their place in their key's order, and what came before: the path of a key as rows, not as one string."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w)).withColumn("before", F.lag(what).over(w))

@@ -37,11 +37,11 @@ def _(spark, sf):
     return _status(spark, sf)
 
 
-@query("status_document", f"{_STATUS} SELECT 'p1' AS publication_id, count(*) AS n FROM s")
+@query("status_document", f"{_STATUS} SELECT 'p1' AS publication_id, indicator_id, month, state, {rd('value')} AS value, {rd('last_known')} AS last_known FROM s")
 def _(spark, sf):
-    kind = "publicationId string, indicators array<struct<indicator_id:string,value:double>>"
+    kind = "publicationId string, indicators array<struct<indicator_id:string,month:string,state:string,value:double,last_known:double>>"
     back = Z.status_document(_status(spark, sf), "p1").select(F.from_json("json", kind).alias("j"))
-    return back.select(F.col("j.publicationId").alias("publication_id"), F.size("j.indicators").cast("long").alias("n"))
+    return back.select(F.col("j.publicationId").alias("publication_id"), F.explode("j.indicators").alias("x")).select("publication_id", "x.*")
 
 
 @query("status_disagreements", f"{_STATUS} SELECT indicator_id, {rd('round(value, 1)')} AS value, {rd('last_known')} AS series_value FROM s WHERE abs(round(value, 1) - last_known) > 0.01")

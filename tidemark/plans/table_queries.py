@@ -112,8 +112,7 @@ def _(spark, sf):
 @query("published_round_trip", f"WITH {P.POINTS_SQL} SELECT indicator_id, month, {rd('round(value, 4)')} AS value, flag FROM points")
 def _(spark, sf):
     lines = K.series_lines(P.indicator_points(spark, sf), {"source": "orders", "units": "z"})
-    parsed = lines.where(F.col("line").rlike(r"^\d{4}-\d{2},")).select("indicator_id", F.split("line", ",", -1).alias("c"))
-    return parsed.select("indicator_id", F.col("c")[0].alias("month"), F.col("c")[1].try_cast("double").alias("value"), F.col("c")[2].alias("flag"))
+    return T.published_csv(lines, ["indicator_id"])
 
 
 # Grids: prices by month and nation as cells.
@@ -146,15 +145,17 @@ def _(spark, sf):
     return A.area_mean_rows(_grid(spark, sf), ["month_idx"]).select(F.col("month_idx").cast("long").alias("month_idx"), "mean")
 
 
-@query("opendap_months", f"""WITH {_GRID} SELECT month_idx, lat, {rd('round(value, 3)')} AS value, lon FROM gg WHERE month_idx = 100 AND value IS NOT NULL""")
+@query("opendap_months", f"""WITH {_GRID} SELECT month_idx, lat, {rd('round(value, 3)')} AS value, lon FROM gg WHERE value IS NOT NULL""")
 def _(spark, sf):
-    g = _grid(spark, sf).where("month_idx = 100")
+    """One response for each month, its rows and axis in text, parsed again."""
+    g = _grid(spark, sf)
     cell = F.when(F.col("value").isNotNull(), F.format_string("%.3f", "value")).otherwise("NaN")
-    line = g.groupBy("lat").agg(F.sort_array(F.collect_list(F.struct("lon", cell.alias("v")))).alias("c")).select(F.round((F.col("lat") + 10) / 2.5).cast("int").alias("i"), F.array_join(F.transform("c", lambda x: x["v"]), ", ").alias("l"), F.transform("c", lambda x: x["lon"]).alias("lons"))
-    text = line.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "l"))), lambda x: F.format_string("[0][0][%d], %s", x["i"], x["l"])), "\n").alias("b"))
-    rows = G.opendap_block(text.select(F.concat(F.lit("Dataset {}\n---\nuwnd.uwnd[1][1][9][11]\n"), "b", F.lit("\n\nuwnd.time[1]\n1297320.0\n")).alias("text")), "uwnd")
-    lons = line.select("i", F.posexplode("lons").alias("i_lon", "lon"))
-    return rows.join(lons, (rows["i_row"] == lons["i"]) & (rows["i_lon"] == lons["i_lon"])).where("value is not null").select(F.lit(100).cast("long").alias("month_idx"), (F.col("i_row") * 2.5 - 10).alias("lat"), "value", "lon")
+    line = g.groupBy("month_idx", "lat").agg(F.sort_array(F.collect_list(F.struct("lon", cell.alias("v")))).alias("c")).select("month_idx", F.round((F.col("lat") + 10) / 2.5).cast("int").alias("i"), F.array_join(F.transform("c", lambda x: x["v"]), ", ").alias("l"), F.transform("c", lambda x: x["lon"]).alias("lons"))
+    block = line.groupBy("month_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "l"))), lambda x: F.format_string("[0][0][%d], %s", x["i"], x["l"])), "\n").alias("b"))
+    texts = block.select("month_idx", F.concat(F.lit("Dataset {}\n---\nuwnd.uwnd[1][1][9][11]\n"), "b", F.lit("\n\nuwnd.time[1]\n1297320.0\n")).alias("text"))
+    rows = G.opendap_block(texts, "uwnd", ["month_idx"])
+    lons = line.select("month_idx", F.col("i").alias("i_row"), F.posexplode("lons").alias("i_lon", "lon"))
+    return rows.join(lons, ["month_idx", "i_row", "i_lon"]).where("value is not null").select(F.col("month_idx").cast("long").alias("month_idx"), (F.col("i_row") * 2.5 - 10).alias("lat"), "value", "lon")
 
 
 @query("longitudes", "SELECT DISTINCT n_nationkey, (n_nationkey * 30 - 360)::DOUBLE AS lon, (((n_nationkey * 30 - 360) % 360 + 360) % 360)::DOUBLE AS positive, (CASE WHEN ((n_nationkey * 30 - 360) % 360 + 360) % 360 > 180 THEN ((n_nationkey * 30 - 360) % 360 + 360) % 360 - 360 ELSE ((n_nationkey * 30 - 360) % 360 + 360) % 360 END)::DOUBLE AS negative, ((n_nationkey * 30 - 360) % 360 + 360) % 360 BETWEEN 270 AND 300 AS coastal FROM nation")
@@ -190,9 +191,20 @@ def _(spark, sf):
     return t(spark, sf, "pages").select("page_id", F.explode(D.links(F.col("html"))).alias("l")).groupBy("page_id", "l.href").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("page_table_cells")
+@query("page_table_cells", """WITH c AS (SELECT c_nationkey AS page, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer)
+SELECT page::BIGINT AS id, 0::INT AS i_table, r::INT AS i_row, k::INT AS i_cell, [c_custkey::VARCHAR, c_name || ' & co', c_mktsegment][k + 1] AS text FROM c, (VALUES (0), (1), (2)) v(k)
+UNION ALL SELECT DISTINCT page, 0, 0, k, ['key', 'name', 'segment'][k + 1] FROM c, (VALUES (0), (1), (2)) v(k)""")
 def _(spark, sf):
-    return D.tables(t(spark, sf, "pages"), "page_id", "html")
+    """Pages with a table of the customers of a nation ; the raw pages are for page_table_count."""
+    row = F.format_string("<tr><td> %d <td><b>%s</b> &amp;\n co</td><td>%s</tr>", "c_custkey", "c_name", "c_mktsegment")
+    body = t(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "").alias("b"))
+    return D.tables(body.select("page_id", F.concat(F.lit("<html><p>x</p><table><tr><th>key<th>name<th>segment</tr>"), "b", F.lit("</table>")).alias("html")), "page_id", "html")
+
+
+@query("page_table_count", "SELECT count(*) FILTER (WHERE regexp_matches(html, '(?i)<table[ >]')) = 0 AS none FROM pages")
+def _(spark, sf):
+    """Whether the raw pages hold a table at all."""
+    return D.tables(t(spark, sf, "pages"), "page_id", "html").agg((F.count(F.lit(1)) == 0).alias("none"))
 
 
 @query("page_digests", "SELECT page_id, sha256(html) AS digest, substr(sha256(html), 1, 16) AS short, octet_length(encode(html)) > 1000 AS large FROM pages")
@@ -222,7 +234,9 @@ def _(spark, sf):
     return R.grounding(q, P.indicator_points(spark, sf))
 
 
-@query("grounded_answers", None)
+@query("grounded_answers", f"""WITH {P.POINTS_SQL}, a AS (SELECT conv_id * 1000 + turn AS question_id, unnest(list_filter([{_KEYS}], lambda x: x IS NOT NULL)) AS indicator_id FROM conversations WHERE role = 'user'),
+s AS (SELECT indicator_id, avg(value) AS mean FROM points WHERE value IS NOT NULL GROUP BY 1), l AS (SELECT question_id, indicator_id, indicator_id || ' ' || coalesce('1998-01:' || printf('%.2f', round(p.value, 2) + 0.0::DOUBLE), '-') || ' ' || printf('%.2f', round(mean, 2) + 0.0::DOUBLE) AS line FROM a JOIN s USING (indicator_id) LEFT JOIN points p ON p.indicator_id = a.indicator_id AND p.month = '1998-01')
+SELECT question_id, string_agg(line, '; ' ORDER BY indicator_id) AS answer FROM l GROUP BY 1""")
 def _(spark, sf):
     q = t(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat("text", F.lit(" 1998-01")).alias("question"))
     return R.answers(R.grounding(q, P.indicator_points(spark, sf)))
@@ -338,10 +352,9 @@ def _(spark, sf):
     return t(spark, sf, "events").groupBy("event_type").agg(F.sum(F.from_json("props", "k bigint")["k"]).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("grouped_timeline", "SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS path FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1")
+@query("grouped_timeline", "SELECT user_id, event_id, event_type, (row_number() OVER w)::INT AS place, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def _(spark, sf):
-    e = t(spark, sf, "events").where("ts < timestamp'2024-01-02'")
-    return e.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), ">").alias("path"))
+    return W.timeline(t(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type", "place", "before")
 
 
 @query("fallback_resolution", "SELECT * FROM (VALUES ('roni', 3, 'noaa-cpc-roni'), ('icen', 4, ''), ('nino12', 0, 'noaa-psl-nino12'), ('nino34', 2, 'noaa-cpc-wksst'), ('soi', 4, '')) v(metric_id, level, source_id)")
@@ -357,12 +370,6 @@ def _(spark, sf):
     return Q.incoherent_publications(files)
 
 
-@query("circuit_breakers", None)
-def _(spark, sf):
-    e = t(spark, sf, "events").select("user_id", F.unix_timestamp("ts").alias("at"), (F.col("event_type") != "error").alias("ok"))
-    return Q.breaker_states(e, "user_id", "at", failures=2)
-
-
 @query("run_summary", "SELECT count(*) FILTER (WHERE event_type <> 'error') AS passed, count(*) FILTER (WHERE event_type = 'error') AS failed, coalesce(bool_and(event_type <> 'error') FILTER (WHERE user_id = 1), true) AS critical_ok FROM events")
 def _(spark, sf):
     ok = F.col("event_type") != "error"
@@ -372,17 +379,22 @@ def _(spark, sf):
 # Sinks.
 
 
-@query("series_files", f"""WITH {P.POINTS_SQL} SELECT indicator_id, count(*) + 3 AS lines FROM points GROUP BY 1""")
+@query("series_files", f"""WITH {P.POINTS_SQL} SELECT indicator_id, '# source: orders' || chr(10) || 'month,flag' || chr(10) || string_agg(month || ',' || flag, chr(10) ORDER BY month_idx) AS body, true AS digest_fits, count(value) AS known FROM points GROUP BY 1""")
 def _(spark, sf):
+    """Values are checked by published_round_trip; here all else of the files, and their digests."""
     bodies = K.file_bodies(K.series_lines(P.indicator_points(spark, sf), {"source": "orders"}))
-    return bodies.select("indicator_id", (F.size(F.split("body", "\n")) - 1).cast("long").alias("lines"))
+    marker = F.locate("# file_sha256: ", F.col("body"))
+    above = F.substring("body", F.lit(1), marker - 1)
+    fits = (F.sha2(above, 256) == F.col("file_sha256")) & F.contains("body", F.concat(F.lit("# file_sha256: "), F.col("file_sha256")))
+    plain = F.rtrim(F.regexp_replace(above, r"(?m)^(\d{4}-\d{2}|month),[^,]*,", "$1,"), F.lit("\n"))
+    return bodies.select("indicator_id", plain.alias("body"), fits.alias("digest_fits"), F.regexp_count("body", F.lit(r"(?m)^\d{4}-\d{2},[-0-9]")).cast("long").alias("known"))
 
 
-@query("nested_series", f"WITH {P.POINTS_SQL} SELECT indicator_id, count(*) AS n, count(value) AS known FROM points GROUP BY 1")
+@query("nested_series", f"WITH {P.POINTS_SQL} SELECT indicator_id, scope, month, {rd('value')} AS value, flag FROM points")
 def _(spark, sf):
     kind = "indicatorId string, scope string, checksum string, points array<struct<month:string,value:double,flag:string>>"
     back = K.nested_series(P.indicator_points(spark, sf)).select(F.from_json("json", kind).alias("j"))
-    return back.select(F.col("j.indicatorId").alias("indicator_id"), F.size("j.points").cast("long").alias("n"), F.size(F.filter("j.points", lambda p: p["value"].isNotNull())).cast("long").alias("known"))
+    return back.select(F.col("j.indicatorId").alias("indicator_id"), F.col("j.scope").alias("scope"), F.explode("j.points").alias("p")).select("indicator_id", "scope", "p.month", "p.value", "p.flag")
 
 
 @query("series_checksums", None)

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 
 
-#: Temporary folders of sessions without one of their own, as in tests.
+#: Temporary folders of local sessions without one of their own, as in tests.
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. A local session without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", "") or _own.get(app := spark.sparkContext.applicationId, "")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         found = _own[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return found.rstrip("/")
 

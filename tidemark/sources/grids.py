@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def opendap_block(texts: DataFrame, variable: str) -> DataFrame:
-    """Grid rows of a text response (`text`): i_time, i_row, i_lon, value. A response without the variable raises."""
+def opendap_block(texts: DataFrame, variable: str, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Grid rows of text responses (`text`): i_time, i_row, i_lon, value. A response without the variable raises. Columns in keep stay."""
     head = f"{variable}.{variable}["
     at = F.locate(head, F.col("text"))
     rest = F.when(at > 0, F.substring("text", at, F.length("text"))).otherwise(F.raise_error(F.lit(f"no data of {variable}")))
     block = F.element_at(F.split(rest, r"\n\s*\n"), 1)
-    lines = texts.select(F.explode(F.split(block, "\n")).alias("line")).where(F.col("line").rlike(r"^\s*\[\d+\]"))
+    lines = texts.select(*keep, F.explode(F.split(block, "\n")).alias("line")).where(F.col("line").rlike(r"^\s*\[\d+\]"))
     index = F.regexp_extract_all("line", F.lit(r"\[(\d+)\]"), F.lit(1))
     values = F.split(F.regexp_replace("line", r"^\s*(\[\d+\])+\s*,\s*", ""), r"\s*,\s*")
-    cells = lines.select(index.alias("i"), F.posexplode(values).alias("i_lon", "v"))
-    return cells.select(F.col("i")[0].cast("int").alias("i_time"), F.element_at("i", -1).cast("int").alias("i_row"), "i_lon", known(F.col("v").try_cast("double")).alias("value"))
+    cells = lines.select(*keep, index.alias("i"), F.posexplode(values).alias("i_lon", "v"))
+    return cells.select(*keep, F.col("i")[0].cast("int").alias("i_time"), F.element_at("i", -1).cast("int").alias("i_row"), "i_lon", known(F.col("v").try_cast("double")).alias("value"))
 
 
 def opendap_axis(texts: DataFrame, variable: str, axis: str) -> DataFrame:

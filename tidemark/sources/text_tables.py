@@ -99,8 +99,8 @@ def multi_column(lines: DataFrame, columns: dict[str, int], first_year: int = 19
     return rows.select(F.format_string("%04d-%02d", F.col("c")[0].try_cast("int"), F.col("c")[1].try_cast("int")).alias("month"), F.explode(parts).alias("p")).select("p.indicator_id", "month", missing(F.col("p.v"), exact=exact).alias("value"))
 
 
-def published_csv(lines: DataFrame) -> DataFrame:
-    """month,value,flag lines after a preamble of comments; an empty value is null."""
+def published_csv(lines: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """month,value,flag lines after a preamble of comments; an empty value is null. Columns in keep stay."""
     c = F.split(F.trim("line"), ",", -1)
-    rows = lines.where(F.trim("line").rlike(r"^\d{4}-\d{2},")).select(c.alias("c"))
-    return rows.select(F.col("c")[0].alias("month"), F.col("c")[1].try_cast("double").alias("value"), F.when(F.size("c") > 2, F.col("c")[2]).alias("flag"))
+    rows = lines.where(F.trim("line").rlike(r"^\d{4}-\d{2},")).select(*keep, c.alias("c"))
+    return rows.select(*keep, F.col("c")[0].alias("month"), F.col("c")[1].try_cast("double").alias("value"), F.when(F.size("c") > 2, F.col("c")[2]).alias("flag"))

@@ -256,3 +256,9 @@ def test_stream_upsert_prefers_final_and_is_idempotent(spark, tmp_path):
     spark.createDataFrame([("n", "2026-07-01", "preliminary", 6.0)], schema).coalesce(1).write.mode("append").parquet(source)
     run()
     assert {r["metric"]: r["value"] for r in table.read("rows").collect()} == {"m": 1.0, "n": 6.0}
+    # Only the bucket of n was written again, and older versions than two are gone.
+    before, after = table.buckets("rows", version), table.buckets("rows")
+    assert sum(before[b] != after[b] for b in after) == 1 and set(before) == set(after)
+    spark.createDataFrame([("o", "2026-07-02", "final", 7.0)], schema).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert {r["metric"]: r["value"] for r in table.read("rows").collect()} == {"m": 1.0, "n": 6.0, "o": 7.0} and len(table.versions()) == 2

@@ -67,14 +67,21 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
-def keep_current(spark: SparkSession, stream: DataFrame, table: Snapshots, key: str, order: list[Column], checkpoint: str) -> None:
-    """Keeps the latest row of each key as snapshots of `table`. A batch that is handed over again changes nothing."""
+def keep_current(spark: SparkSession, stream: DataFrame, table: Snapshots, key: str, order: list[Column], checkpoint: str, buckets: int = 64) -> None:
+    """Keeps the latest row of each key as snapshots of `table`. A batch that is handed over again changes nothing.
+
+    Keys are dealt to buckets by hash; a batch reads and rewrites the buckets of its keys only.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if table.current() is not None:
-            merged = batch.unionByName(table.read("rows"))
-        table.publish({"rows": latest_by(merged, key, *order)})
+        merged, held = batch, table.buckets("rows")
+        touched = [r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most one row a bucket
+        old = [f"{table.folder}/{held[b]}" for b in touched if b in held]
+        if old:
+            merged = batch.unionByName(spark.read.parquet(*old))
+        if touched:
+            table.publish_buckets("rows", latest_by(merged, key, *order).withColumn("_bucket", bucket), "_bucket")
 
     run_available(stream, each, checkpoint)
 

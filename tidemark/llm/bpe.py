@@ -4,7 +4,9 @@ Two tiers: a minimal perfect hash finds pre-tokens that are whole entries of the
 heap over a linked list of their bytes. Each task resolves a distinct pre-token once and keeps a bounded number of them.
 Texts never shuffle: encoding is one pass over the documents.
 
-Defined cases: a null text is empty; an empty text has no ids; every other column of the input stays as it is.
+Defined cases: a null text is empty; an empty text has no ids; a text of any length is whole; rows that repeat one another
+are coded alike; an empty table gives an empty result; other columns stay as they are, but for those with the name of an
+added column, which are replaced.
 """
 
 from __future__ import annotations
@@ -118,13 +120,13 @@ class Encoder:
             self.pieces[i] = piece
         self.resolved = spans.Resolved(self._resolve)
 
-    def _resolve(self, tokens: list[str]) -> list[list[int]]:
+    def _resolve(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = []
         for token in tokens:
             piece = token.encode()
             k = self.tier.get(piece)
             found.append([self.ids_of[k]] if k >= 0 else merge(piece, self.ranks))
-        return found
+        return spans.listed(found)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -171,7 +173,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", vocabulary: str | Non
         encoder = _encoder(ranks.value)
         for batch in batches:
             at = 0
-            for some in spans.chunks([x or "" for x in batch.column(text_col).to_pylist()]):
+            for some in spans.chunks(spans.strings(batch.column(text_col))):
                 ids = encoder.encode(some)
                 listed = [x.tolist() for x in ids]
                 columns = [batch.column(c).slice(at, len(some)) for c in keep] + [pa.array(map(len, ids), pa.int64())]

@@ -63,7 +63,7 @@ class Splitter:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
-        self.resolved = spans.Resolved(lambda w: self.model.encode(w, num_threads=1))
+        self.resolved = spans.Resolved(lambda w: spans.listed(self.model.encode(w, num_threads=1)))
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,8 +1,8 @@
 """Words and pre-tokens of many texts at once, as spans of one array of code points, and 64-bit hashes of spans.
 
 Helpers for work inside tasks: a task joins some texts, finds all spans with array operations and resolves each
-distinct span once. Spans are told apart by a 64-bit hash: of the spans that a task holds, some 10^5, two unlike ones
-share a hash with a probability near 10^-9.
+distinct span once. Equal spans are found by a 64-bit hash and then compared, code point by code point, so that two
+unlike spans of one hash still get their own ids.
 """
 
 from __future__ import annotations
@@ -20,15 +20,26 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def chunks(texts: Iterable[str], most: int = 1_500_000) -> Iterator[list[str]]:
-    """Runs of texts of about `most` code points together; a longer text is alone."""
+#: Code points that are worked on at once; array operations then take some 20 MB.
+CHUNK = 250_000
+
+
+def strings(column, rows: int = 256) -> Iterator[str]:
+    """The strings of an Arrow column, a few rows at a time; empty for null."""
+    for at in range(0, len(column), rows):
+        for text in column.slice(at, rows).to_pylist():
+            yield text or ""
+
+
+def chunks(texts: Iterable[str], most: int = CHUNK) -> Iterator[list[str]]:
+    """Runs of texts of at most `most` code points together, an end for each text included; a longer text is alone."""
     held, n = [], 0
     for text in texts:
-        if held and n + len(text) > most:
+        if held and n + len(text) + 1 > most:
             yield held
             held, n = [], 0
         held.append(text)
-        n += len(text)
+        n += len(text) + 1
     if held:
         yield held
 
@@ -103,7 +114,6 @@ def pretokens(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[real], ends[real]
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
@@ -111,6 +121,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(up), np.cumprod(down)
 
 
+@functools.cache
+def _chunk_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(CHUNK + 1)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser whose every bit depends on all bits of x."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1
@@ -118,20 +133,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.cache
-def _values() -> np.ndarray:
-    return mixed(np.arange(END + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(1))
-
-
 def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, which depends on its code points only."""
-    size = 1 << max(16, (len(points) - 1).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(_values()[points] * up[: len(points)], out=total[1:])
+    n = len(points)
+    up, down = _chunk_powers() if n <= CHUNK else _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(points.astype(np.uint64) * np.uint64(_BASE) + np.uint64(1)) * up[:n], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def flat_places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all items of runs that begin at starts, run after run."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> bool:
+    """Whether each span of a holds the code points of its counterpart in b."""
+    return bool((a_sizes == b_sizes).all()) and bool((a[flat_places(a_starts, a_sizes)] == b[flat_places(b_starts, b_sizes)]).all())
+
+
+def texts_of(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The spans as strings."""
+    sizes = ends - starts
+    every = points[flat_places(starts, sizes)].tobytes().decode("utf-32-le")
+    cuts = np.cumsum(sizes).tolist()
+    return [every[i:k] for i, k in zip([0, *cuts], cuts)]
+
+
 def text_of(points: np.ndarray, start: int, end: int) -> str:
     return points[start:end].tobytes().decode("utf-32-le")
 
@@ -147,47 +176,94 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(total)
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.items, self.used = np.empty(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.used + len(more)
+        if need > len(self.items):
+            grown = np.empty(max(need, 2 * len(self.items)), self.items.dtype)
+            grown[: self.used] = self.items[: self.used]
+            self.items = grown
+        self.items[self.used : need] = more
+        self.used = need
+
+
 class Resolved:
-    """Ids of spans: `encode` gives those of spans not seen before; emptied when it holds `most` spans."""
+    """Ids of spans. `encode` gives the ids of some strings, one after another, and how many each has.
+
+    It is called once for a distinct span; spans are kept, with their code points, until `most` of them are held.
+    """
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 300_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.at, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _add(self, keys: list[int], many: list) -> None:
-        sizes = np.fromiter(map(len, many), np.int64, len(many))
-        total, n = int(sizes.sum()), len(self.slots)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while n + len(keys) > len(self.at):
-            self.at, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.at, self.size))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in many for i in x), np.uint32, total)
-        self.size[n : n + len(keys)] = sizes
-        self.at[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.slots.update(zip(keys, range(n, n + len(keys))))
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted by key
+        self.flat, self.points = Grown(np.uint32), Grown(np.uint32)
+        self.id_at, self.n_ids, self.point_at, self.n_points = (Grown(np.int64) for _ in range(4))
+
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key among the held ones, and whether it is there."""
+        place = np.searchsorted(self.keys, key)
+        if not len(self.keys):
+            return place, np.zeros(len(key), bool)
+        return place, self.keys[np.minimum(place, len(self.keys) - 1)] == key
+
+    def _add(self, key: np.ndarray, place: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        ids, sizes = self.encode(texts_of(points, starts, ends))
+        slots = self.id_at.used + np.arange(len(key))
+        self.id_at.add(self.flat.used + np.cumsum(sizes) - sizes)
+        self.n_ids.add(sizes)
+        self.flat.add(ids)
+        lengths = ends - starts
+        self.point_at.add(self.points.used + np.cumsum(lengths) - lengths)
+        self.n_points.add(lengths)
+        self.points.add(points[flat_places(starts, lengths)])
+        self.keys, self.slots = np.insert(self.keys, place, key), np.insert(self.slots, place, slots)
+
+    def _one_by_one(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids without hashes, for a chunk in which two unlike spans share one."""
+        texts = texts_of(points, starts, ends)
+        number = {x: i for i, x in enumerate(dict.fromkeys(texts))}
+        ids, sizes = self.encode(list(number))
+        which = np.fromiter(map(number.__getitem__, texts), np.int64, len(texts))
+        return np.asarray(ids)[flat_places((np.cumsum(sizes) - sizes)[which], sizes[which])], sizes[which]
 
     def ids(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans, in order, and how many each span has."""
-        h = hashes(points, starts, ends)
-        key, at, where = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slots) + len(key) > self.most:
+        if not len(starts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        lengths = ends - starts
+        key, at, which = np.unique(hashes(points, starts, ends), return_index=True, return_inverse=True)
+        again = np.flatnonzero(at[which] != np.arange(len(which)))
+        first = at[which[again]]
+        if not equal_spans(points, starts[again], points, starts[first], lengths[again], lengths[first]):
+            return self._one_by_one(points, starts, ends)
+        place, known = self._find(key)
+        if len(self.keys) + int((~known).sum()) > self.most:
             self.clear()
-        keys = key.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slots]
-        if new:
-            spots = at[new]
-            self._add([keys[i] for i in new], self.encode([text_of(points, a, b) for a, b in zip(starts[spots].tolist(), ends[spots].tolist())]))
-        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))[where]
-        size = self.size[slot]
-        upto = np.cumsum(size)
-        total = int(upto[-1]) if len(upto) else 0
-        return self.flat[np.repeat(self.at[slot] - (upto - size), size) + np.arange(total)], size
+            place, known = self._find(key)
+        held, spots = self.slots[place[known]], at[known]
+        if not equal_spans(points, starts[spots], self.points.items, self.point_at.items[held], lengths[spots], self.n_points.items[held]):
+            return self._one_by_one(points, starts, ends)
+        if not known.all():
+            spots = at[~known]
+            self._add(key[~known], place[~known], points, starts[spots], ends[spots])
+            place, _ = self._find(key)
+        slot = self.slots[place][which]
+        size = self.n_ids.items[slot]
+        return self.flat.items[flat_places(self.id_at.items[slot], size)], size
+
+
+def listed(many: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after another, and their lengths."""
+    sizes = np.fromiter(map(len, many), np.int64, len(many))
+    return np.fromiter((i for x in many for i in x), np.uint32, int(sizes.sum())), sizes
 
 
 def per_text(starts: np.ndarray, text_ends: np.ndarray) -> np.ndarray:

@@ -7,13 +7,15 @@ start within the file, number of ids. Documents follow one another in ascending
 sequence of a file is filled up with end ids under a false mask.
 
 Documents are range-partitioned by id, so each task writes the files of one range, and the files in order are the corpus
-in order. A task writes under a name of its attempt and renames at the end, so a lost executor leaves no half file.
-The manifest, a row per file, is all that later steps need; offsets are sums over the manifest.
+in order. Every attempt of a task writes under names of its own, and the manifest, a row per file, commits them: Spark
+keeps the rows of one attempt of each task, so files of lost or repeated attempts are in no manifest and never read.
+Nothing is renamed. Offsets are sums over the manifest; each file is read back by a task of its own.
 
 Texts are cut at the vocabulary's added tokens first, which get their own ids, as the library does by default.
 
-Defined cases: a null text is empty and still gets its end id; null ids come first; rows that repeat an id follow one
-another, ordered by a hash of their texts; an empty table writes no file.
+Defined cases: a null or empty text has its end id alone; null ids come first; rows that repeat an id follow one
+another, ordered by a hash of their texts; a text of any length is whole; an empty table writes no file; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,20 +45,39 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(vocabulary: str):
-    """Ids of spans by the tokenizers library, each distinct pre-token once; the type that holds every id; the added tokens."""
+def library_encoder(vocabulary: str):
+    """A byte-level model of the tokenizers library, and a function from pre-tokens to their ids and how many each has."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_str(vocabulary)
+    piece_bytes = np.zeros(model.get_vocab_size(), np.int64)  # a piece of a byte-level vocabulary has a character for each byte
+    for piece, i in model.get_vocab(with_added_tokens=False).items():
+        piece_bytes[i] = len(piece)
+
+    def encode(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs = [tokens[k : k + 1000] for k in range(0, len(tokens), 1000)]
+        ids = np.array([i for x in model.encode_batch_fast(runs, is_pretokenized=True, add_special_tokens=False) for i in x.ids], np.uint32)
+        # Each token's ids end where their bytes do.
+        upto, ends = np.cumsum(piece_bytes[ids]), np.cumsum([len(t.encode()) for t in tokens])
+        last = np.searchsorted(upto, ends)
+        if len(last) and last[-1] == len(ids) - 1 and (upto[last] == ends).all():
+            return ids, np.diff(last, prepend=-1)
+        return spans.listed([x.ids for x in model.encode_batch_fast(tokens, add_special_tokens=False)])
+
+    return model, encode
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(vocabulary: str):
+    """Ids of spans by the tokenizers library, each distinct pre-token once; the type that holds every id; the added tokens."""
+    model, encode = library_encoder(vocabulary)
     kind = np.uint16 if model.get_vocab_size() <= 1 << 16 else np.uint32
     added = model.get_added_tokens_decoder()
     if any(x.single_word or x.lstrip or x.rstrip for x in added.values()):
         raise ValueError("added tokens that take in their surroundings are not supported")
-    resolved = spans.Resolved(lambda tokens: [x.ids for x in model.encode_batch_fast(tokens, add_special_tokens=False)])
-    return resolved, kind, {x.content: i for i, x in added.items()}
+    return spans.Resolved(encode), kind, {x.content: i for i, x in added.items()}
 
 
 def cut_at(texts: list[str], added: dict[str, int], end_id: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -70,17 +91,17 @@ def cut_at(texts: list[str], added: dict[str, int], end_id: int) -> tuple[list[s
 
 
 class _Writer:
-    """Packs ids into sequences and writes them and the documents' list under temporary names."""
+    """Packs ids into sequences and writes them and the documents' list, under names that no other attempt has."""
 
     def __init__(self, folder: str, part: int, kind, end_id: int, sequence: int, per_batch: int):
         self.files, base = arrow_fs.FileSystem.from_uri(folder)
         self.kind, self.end_id, self.sequence, self.per_batch = kind, end_id, sequence, per_batch
-        self.names = [f"{base}/part-{part:07d}.arrow", f"{base}/part-{part:07d}.docs.arrow"]
-        self.drafts = [f"{base}/.{uuid.uuid4().hex}-{k}" for k in range(2)]
+        name = f"{base}/part-{part:07d}-{uuid.uuid4().hex}"
+        self.names = [f"{name}.arrow", f"{name}.docs.arrow"]
         item = pa.from_numpy_dtype(kind)
         self.schema = pa.schema([("tokens", pa.list_(item, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         self.docs_schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64())])
-        self.sinks = [self.files.open_output_stream(d) for d in self.drafts]
+        self.sinks = [self.files.open_output_stream(x) for x in self.names]
         self.out = [pa.ipc.new_file(s, schema) for s, schema in zip(self.sinks, (self.schema, self.docs_schema))]
         self.held, self.n_held, self.n_ids, self.n_docs = [], 0, 0, 0
 
@@ -112,8 +133,6 @@ class _Writer:
             self._flush(True)
         for x in (*self.out, *self.sinks):
             x.close()
-        for draft, name in zip(self.drafts, self.names):
-            self.files.move(draft, name)
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, sequence: int = SEQUENCE, per_batch: int = PER_BATCH) -> DataFrame:
@@ -132,7 +151,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         resolved, kind, added = _encoder(model.value)
         for batch in batches:
             at = 0
-            for some in spans.chunks(batch.column("_text").to_pylist()):
+            for some in spans.chunks(spans.strings(batch.column("_text"))):
                 pieces, after, many = cut_at(some, added, end_id)
                 points, piece_ends = spans.joined(pieces)
                 starts, ends = spans.pretokens(points)
@@ -184,7 +203,9 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    spread = placed.repartition(F.col("part"))
+    # A task for each file; the number is explicit, so that adaptive execution doesn't merge them.
+    last = manifest.agg(F.max("part").alias("x")).first()["x"]
+    spread = placed.repartitionById(1 if last is None else last + 1, F.col("part").cast("int"))
 
     def run(batches):
         files = arrow_fs.FileSystem.from_uri(folder)[0]

@@ -30,18 +30,34 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-#: Temporary folders of sessions without one of their own, as in tests.
+#: Temporary folders of local sessions without one of their own, as in tests.
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that would be out of the executors' sight
+    and raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or _own.get(app := spark.sparkContext.applicationId, "")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _own[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a temporary column that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    k = 0
+    while (found := f"_{name}_{k}") in taken:
+        k += 1
+    return found
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 

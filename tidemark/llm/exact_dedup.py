@@ -6,10 +6,12 @@ Three merges, each grouping by the digest and the full normalised text:
 2. among rows of one digest and one salt, so that a text with a third of all rows is spread over `salts` groups;
 3. among the winners of the salts, at most `salts` rows a text.
 
-Equal digests with unequal texts never merge. Only ids, digests and counts travel back to the rows.
+In all of them equal digests with unequal texts stay apart. Only ids, digests and counts travel back to the rows, which
+find their group by SHA-256 and length: texts don't move a second time.
 
 Defined cases: a null text is empty; a text of white space only equals one space, not the empty text; a null id is
-larger than any id; of rows that repeat both id and text one stays; an empty table gives an empty result.
+larger than any id; of rows that repeat both id and text one stays; a text of any length is compared whole; an empty table
+gives an empty result; other columns stay as they are in keep_first(), whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ def normalised(text: str = "text") -> Column:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per distinct normalised text: _digest, keep_id, group_size."""
+    """One row per distinct normalised text: _digest, _length, keep_id, group_size."""
     rows = docs.select(
         F.col(id_col).alias("_id"),
         normalised(text_col).alias("_norm"),
@@ -35,7 +37,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     ).withColumn("_digest", F.unhex(F.sha2("_norm", 256)))
     salted = rows.groupBy("_digest", "_salt", "_norm").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
     merged = salted.groupBy("_digest", "_norm").agg(F.min("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
-    return merged.select("_digest", "keep_id", "group_size")
+    return merged.select("_digest", F.octet_length("_norm").alias("_length"), "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -44,12 +46,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     rows = docs.select(
         F.col(id_col).alias("_id"),
-        F.unhex(F.sha2(normalised(text_col), 256)).alias("_digest"),
+        normalised(text_col).alias("_norm"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("long").alias("_salt"),
-    )
-    same = Window.partitionBy("_digest", "_id").orderBy("_salt")
+    ).select("_id", "_salt", F.unhex(F.sha2("_norm", 256)).alias("_digest"), F.octet_length("_norm").alias("_length"))
+    same = Window.partitionBy("_digest", "_length", "_id").orderBy("_salt")
     return (
-        rows.join(spread, ["_digest", "_salt"], "left")
+        rows.join(spread, ["_digest", "_length", "_salt"], "left")
         .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")))
         .withColumn("_first", F.row_number().over(same) == 1)
         .select(
@@ -64,8 +66,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows that repeat an id and a text count once."""
-    first = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_keep"))
-    return docs.join(first.distinct(), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    keep = common.fresh(docs, "keep")
+    first = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias(keep))
+    return docs.join(first.distinct(), F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,22 +4,26 @@ The n-grams of the corpus have one global order. It is cut into fragments by has
 one per fragment. Three kinds of work run fragment by fragment and are put together per document or per pair:
 
 1. Frequencies. A task packs the segments of many documents into one row per fragment, so that a shuffle moves columns
-   of hashes, not rows. A fragment counts the documents of each n-gram and returns those in two or more. N-grams in
-   a large share of all documents are counted beforehand, by the tasks, and skip their fragment, so no fragment holds
-   a group that grows with the corpus.
-2. Candidates. Ordered from rare to frequent, two sets with the overlap that a link needs share an n-gram early in both.
-   A document without enough shared n-grams has no partner at all and is done.
-3. Overlaps. The partial overlaps of a pair are counted in each fragment and summed per pair.
+   of hashes, not rows. A fragment counts the documents of each n-gram and returns those in two or more. The number of
+   fragments grows with the corpus and each has a task of its own, so a task's memory does not. N-grams in a large share
+   of all documents are counted beforehand, by the tasks, and skip their fragment, so no fragment holds a group that
+   grows with the corpus.
+2. Candidates, by a prefix filter: ordered from rare to frequent, two sets with the overlap that a link needs share
+   an n-gram early in both. A document without enough shared n-grams has no partner at all and is done.
+3. Overlaps. The partial overlaps of a pair are counted in each fragment and summed per pair. A set with many partners
+   is salted, so that its pairs spread over tasks.
 
 Documents with equal sets are one node from the start. Pairs are not formed within groups: first every candidate bucket
 compares its members with one leader; after that, documents outside the largest component of a bucket are compared
-with what is not yet connected to them. A pair that is left out lies within one component, so no link is lost.
+with what is not yet connected to them. A pair that is left out lies within one component, so no link is lost. Of that
+second step, rows whose place allows no partner of any size in the bucket are left out before, sizes meet by classes, and
+large buckets are cut into blocks on both sides.
 
 Sets are compared by 64-bit hashes of their n-grams, and equal sets found by 128-bit fingerprints.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and is its own component; fewer
-words than the n-gram's are one n-gram; rows that repeat an id are one node; a null id has no component; an empty table
-gives an empty result.
+words than the n-gram's are one n-gram; rows that repeat an id are one node; a null id has no component; a text of any
+length is whole; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,13 +39,17 @@ from tidemark.llm.components import components
 WIDTH = 5
 # A link needs 4 * intersection >= 3 * union, which is 7 * intersection >= 3 * (sum of sizes).
 #: N-grams of one fragment, on average, and fragments at least.
-FRAGMENT, LEAST_FRAGMENTS = 2_000_000, 24
+FRAGMENT, LEAST_FRAGMENTS = 1_500_000, 24
 #: An n-gram is counted beforehand if a task meets it in this share of a batch's documents.
 HOT_SHARE, HOT_LEAST = 512, 1000
 #: N-grams that a task packs at once, and documents.
-PACK, PACK_DOCS = 1_500_000, 60_000
-#: Fragments in which a pair's overlap is counted.
-OVERLAP_BITS = 2
+PACK, PACK_DOCS = 750_000, 60_000
+#: Fragments in which a pair's overlap is counted: a power of two, by the n-grams that one should hold of the largest set.
+OVERLAP_NGRAMS, LEAST_BITS, MOST_BITS = 2048, 2, 6
+#: Partners of a set that one salt takes, and rows on each side of a block of a bucket.
+PARTNERS, BLOCK = 2000, 2000
+#: Sets with more than PARTNERS partners whose table is small enough to broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
@@ -87,7 +95,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
     def run(batches):
         for batch in batches:
             sizes, keys, seen = [], [], {}
-            for some in spans.chunks(batch.column("_text").to_pylist()):
+            for some in spans.chunks(spans.strings(batch.column("_text"))):
                 for s in shingle_sets(some, width):
                     sizes.append(len(s))
                     keys.append(fingerprint(s) if len(s) else None)
@@ -104,7 +112,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
     return rows.mapInArrow(run, "_id long, n_shingles long, _key binary, _hot array<struct<h: long, n: long>>")
 
 
-SEGMENTS = "frag long, keys binary, sizes binary, h binary, owner binary, count binary"
+SEGMENTS = "frag int, keys binary, sizes binary, h binary, owner binary, count binary"
 
 
 def segments(docs: DataFrame, id_col: str, text_col: str, width: int, fragments: int, hot) -> DataFrame:
@@ -124,11 +132,16 @@ def segments(docs: DataFrame, id_col: str, text_col: str, width: int, fragments:
         if len(hot_keys):
             spot = np.minimum(np.searchsorted(hot_keys, h), len(hot_keys) - 1)
             count = np.where(hot_keys[spot] == h, hot_counts[spot], 0).astype(np.uint32)
-        frag = fragment_of(h, fragments).astype(np.int64)
-        bucket = np.frombuffer(keys, np.uint64)[0::2] % np.uint64(fragments)
-        frag = np.where(count > 0, fragments + bucket[owner].astype(np.int64), frag)
-        order = np.lexsort((h, frag))
-        frag, h, owner, count = frag[order], h[order], owner[order], count[order]
+        # Fragments are ranges of hashes, so one sort by hash puts them in order.
+        order = np.argsort(np.where(count > 0, ~np.uint64(0), h), kind="stable")
+        h, owner, count = h[order], owner[order], count[order]
+        plain = int((count == 0).sum())
+        frag = fragment_of(h, fragments).astype(np.int32)
+        if plain < len(h):
+            bucket = np.frombuffer(keys, np.uint64)[0::2] % np.uint64(fragments)
+            frag[plain:] = fragments + bucket[owner[plain:]].astype(np.int32)
+            order = plain + np.lexsort((h[plain:], frag[plain:]))
+            frag[plain:], h[plain:], owner[plain:], count[plain:] = frag[order], h[order], owner[order], count[order]
         cut = np.flatnonzero(np.diff(frag, prepend=-1))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(frag)]):
             used, local = np.unique(owner[a:b], return_inverse=True)
@@ -141,10 +154,10 @@ def segments(docs: DataFrame, id_col: str, text_col: str, width: int, fragments:
 
         def flush():
             found = [*packed(held)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), [pa.int64()] + [pa.binary()] * 5)], names=["frag", "keys", "sizes", "h", "owner", "count"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), [pa.int32()] + [pa.binary()] * 5)], names=["frag", "keys", "sizes", "h", "owner", "count"])
 
         for batch in batches:
-            for some in spans.chunks(batch.column("_text").to_pylist()):
+            for some in spans.chunks(spans.strings(batch.column("_text"))):
                 for s in shingle_sets(some, width):
                     if len(s) and (key := fingerprint(s)) not in held:
                         held[key] = s
@@ -172,20 +185,20 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             keys.append(np.frombuffer(k, np.uint64).reshape(-1, 2))
             sizes.append(numbers(s, np.uint32))
             hs.append(numbers(h, np.uint64))
-            owners.append(numbers(o, np.uint16).astype(np.int64) + n)
+            owners.append(numbers(o, np.uint16).astype(np.int32) + np.int32(n))
             counts.append(numbers(c, np.uint32) if c else np.zeros(len(hs[-1]), np.uint32))
             n += len(keys[-1])
     pairs = np.concatenate(keys)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     new = np.ones(n, bool)
     new[1:] = (pairs[order][1:] != pairs[order][:-1]).any(axis=1)
-    number = np.empty(n, np.int64)
+    number = np.empty(n, np.int32)
     number[order] = np.cumsum(new) - 1
     first = order[new]
     return pairs[first], np.concatenate(sizes)[first], np.concatenate(hs), number[np.concatenate(owners)], np.concatenate(counts)
 
 
-SHARED = "bucket long, keys binary, sizes binary, h binary, owner binary, count binary"
+SHARED = "bucket int, keys binary, sizes binary, h binary, owner binary, count binary"
 
 
 def shared_ngrams(packed: DataFrame, fragments: int) -> DataFrame:
@@ -217,12 +230,12 @@ def shared_ngrams(packed: DataFrame, fragments: int) -> DataFrame:
                     few = used[u : u + (1 << 16)]
                     rows.append((int(bucket[at]), pairs[few].tobytes(), planes(sizes[few]), planes(h[at:to][inside]), planes((local[inside] - u).astype(np.uint16)), planes(count[at:to][inside])))
         columns = list(zip(*rows)) if rows else [()] * 6
-        return pa.table([pa.array(x, t) for x, t in zip(columns, [pa.int64()] + [pa.binary()] * 5)], names=["bucket", "keys", "sizes", "h", "owner", "count"])
+        return pa.table([pa.array(x, t) for x, t in zip(columns, [pa.int32()] + [pa.binary()] * 5)], names=["bucket", "keys", "sizes", "h", "owner", "count"])
 
-    return packed.groupBy("frag").applyInArrow(run, SHARED)
+    return packed.repartitionById(2 * fragments, "frag").groupBy("frag").applyInArrow(run, SHARED)
 
 
-def candidates(shared: DataFrame) -> DataFrame:
+def candidates(shared: DataFrame, fragments: int) -> DataFrame:
     """Sets that can have a partner: _key, n, alone (n-grams of no other set), hs (the others, from rare to frequent)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -238,7 +251,7 @@ def candidates(shared: DataFrame) -> DataFrame:
         keys = pa.array([p.tobytes() for p in pairs[can]], pa.binary())
         return pa.table([keys, pa.array(n[can]), pa.array((n - held)[can]), listed], names=["_key", "n", "alone", "hs"])
 
-    return shared.groupBy("bucket").applyInArrow(run, "_key binary, n long, alone long, hs array<long>")
+    return shared.repartitionById(fragments, "bucket").groupBy("bucket").applyInArrow(run, "_key binary, n long, alone long, hs array<long>")
 
 
 def needed(na: Column, nb: Column) -> Column:
@@ -252,22 +265,59 @@ def early(a: str, b: str) -> Column:
     return (F.col(f"{a}.pos") <= F.col(f"{a}.n") - need + 1) & (F.col(f"{b}.pos") <= F.col(f"{b}.n") - need + 1)
 
 
-def ordered_pair(a: str, b: str) -> list[Column]:
-    swap = F.col(f"{a}._key") > F.col(f"{b}._key")
-    return [F.when(swap, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}")).alias(f"{name}{k}") for k, x, y in (("a", a, b), ("b", b, a)) for name, c in (("key_", "_key"), ("rep_", "rep"), ("n_", "n"))]
+def pair(a: str, b: str) -> list[Column]:
+    return [F.col(f"{x}.{c}").alias(f"{name}{k}") for k, x in (("a", a), ("b", b)) for name, c in (("key_", "_key"), ("rep_", "rep"), ("n_", "n"))]
+
 
+def with_segments(pairs: DataFrame, stored_pairs: DataFrame, cut: DataFrame, k: str, other: str) -> DataFrame:
+    """pairs with seg_k of each fragment; pairs of a set with many partners are spread by salts, over as many copies of its segments."""
+    key, salt = f"key_{k}", f"salt_{k}"
+    crowded = stored_pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("_salts")).where("_salts > 1")
+    few = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    on_pairs = pairs.join(few, key, "left").withColumn(salt, F.pmod(F.xxhash64(f"key_{other}"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    sides = cut.select(F.col("_key").alias(key), "f", F.col("seg").alias(f"seg_{k}")).join(few, key, "left")
+    sides = sides.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    on = [key, salt, *(["f"] if "f" in pairs.columns else [])]
+    return on_pairs.join(sides, on).drop(salt)
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def linked(pairs: DataFrame, sets: DataFrame, bits: int) -> DataFrame:
     """The pairs that are links: overlaps are counted in each fragment and summed per pair."""
-    fragment = F.explode(F.sequence(F.lit(0), F.lit((1 << OVERLAP_BITS) - 1)))
-    cut = sets.select("_key", "hs", fragment.alias("f")).select("_key", "f", F.filter("hs", lambda x: F.shiftrightunsigned(x, 64 - OVERLAP_BITS) == F.col("f")).alias("seg"))
-    a, b = (cut.select(F.col("_key").alias(f"key_{k}"), "f", F.col("seg").alias(f"seg_{k}")) for k in "ab")
-    parts = pairs.join(b, "key_b").join(a, ["key_a", "f"])
+    pairs = common.stored(pairs.distinct(), "pairs")
+    fragment = F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1)))
+    cut = sets.select("_key", "hs", fragment.alias("f")).select("_key", "f", F.filter("hs", lambda x: F.shiftrightunsigned(x, 64 - bits) == F.col("f")).alias("seg")).where(F.size("seg") > 0)
+    parts = with_segments(with_segments(pairs, pairs, cut, "b", "a"), pairs, cut, "a", "b")
     counted = parts.groupBy("key_a", "key_b", "rep_a", "rep_b", "n_a", "n_b").agg(F.sum(F.size(F.array_intersect("seg_a", "seg_b"))).alias("overlap"))
     return counted.where("7 * overlap >= 3 * (n_a + n_b)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def join_components(sets: DataFrame) -> DataFrame:
+def size_class(n: Column) -> Column:
+    """Sets of linked sizes are in the same class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+
+
+def blocked(known: DataFrame) -> DataFrame:
+    """Pairs of sets of different components that share an early n-gram, without those of the largest component of each."""
+    bounds = known.groupBy("h").agg(F.min("n").alias("least_n"))
+    least = F.greatest("least_n", F.floor((3 * F.col("n") + 3) / 4))
+    able = known.join(bounds, "h").where(F.col("pos") <= F.col("n") - needed(F.col("n"), least) + 1).drop("least_n")
+    # Of each n-gram, the component with the most sets; all others are compared with every set not connected to them.
+    sizes = able.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("many"))
+    largest = sizes.groupBy("h").agg(F.max(F.struct("many", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("many").alias("ny")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    largest = largest.select("h", F.col("top.comp").alias("top"), blocks(F.col("ny")).alias("ky"), blocks(F.col("ny") - F.col("top.many")).alias("kx"))
+    rows = common.stored(able.join(largest, "h").select("*", (F.col("comp") == F.col("top")).alias("in_top"), size_class(F.col("n")).alias("cls")), "open-candidates")
+    upto = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    x = rows.where("not in_top").withColumn("bx", F.pmod(F.xxhash64("_key"), F.col("kx")).cast("int")).withColumn("by", upto("ky"))
+    x = x.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    y = rows.withColumn("by", F.pmod(F.xxhash64("_key"), F.col("ky")).cast("int")).withColumn("bx", upto("kx"))
+    x, y = x.alias("x"), y.alias("y")
+    together = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("h", "cls", "bx", "by")]
+    meets = (F.col("x.comp") != F.col("y.comp")) & early("x", "y") & (F.col("y.in_top") | (F.col("x._key") < F.col("y._key")))
+    return x.join(y, [*together, meets]).select(*pair("x", "y"))
+
+
+def join_components(sets: DataFrame, bits: int) -> DataFrame:
     """node, component over the links between sets (_key, rep, n, alone, hs), for nodes with a link."""
     early_n = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1 - F.col("alone")
     rows = common.stored(
@@ -278,20 +328,11 @@ def join_components(sets: DataFrame) -> DataFrame:
     # One leader for each n-gram: the set with the least share of n-grams of its own.
     leaders = rows.groupBy("h").agg(F.min(F.struct("odd", "rep", "_key", "n", "pos")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1").select("h", "lead.*")
     stars = leaders.alias("l").join(rows.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l._key") != F.col("r._key")) & early("l", "r"))
-    first = common.stored(linked(stars.select(*ordered_pair("l", "r")).distinct(), sets), "links")
+    first = common.stored(linked(stars.select(*pair("l", "r")), sets, bits), "links")
     by_first = common.stored(components(first), "components")
 
     known = rows.join(by_first, rows["rep"] == by_first["node"], "left").select(rows["*"], F.coalesce("component", "rep").alias("comp"))
-    known = common.stored(known, "candidates")
-    # Of each n-gram, the component with the most sets; all others are compared with every set not connected to them.
-    sizes = known.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("many"))
-    largest = sizes.groupBy("h").agg(F.max(F.struct("many", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("h", "top")
-    open_rows = known.join(largest, "h").select("*", (F.col("comp") == F.col("top")).alias("in_top"))
-    rest = open_rows.where("not in_top").alias("x").join(
-        open_rows.alias("y"),
-        (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & early("x", "y") & (F.col("y.in_top") | (F.col("x._key") < F.col("y._key"))),
-    )
-    second = linked(rest.select(*ordered_pair("x", "y")).distinct(), sets)
+    second = linked(blocked(common.stored(known, "candidates")), sets, bits)
     named = second.join(by_first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(by_first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     bridges = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     nodes = by_first.unionByName(bridges.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
@@ -302,7 +343,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, n_shingles, component_id."""
     spark = docs.sparkSession
     found = common.stored(document_sets(docs, id_col, text_col, width), "sets")
-    totals = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("docs")).first()
+    totals = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("docs"), F.coalesce(F.max("n_shingles"), F.lit(0)).alias("most")).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, (totals["most"] // OVERLAP_NGRAMS).bit_length()))
     fragments = max(LEAST_FRAGMENTS, -(-totals["n"] // FRAGMENT))
     # At most HOT_SHARE times the average size of a set.
     often = found.select(F.explode("_hot").alias("x")).groupBy("x.h").agg(F.sum("x.n").alias("n")).where(F.col("n") >= max(HOT_LEAST, totals["docs"] // HOT_SHARE)).collect()
@@ -311,8 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = found.where("_key is not null and _id is not null").groupBy("_key").agg(F.min("_id").alias("rep"))
     packed = segments(docs, id_col, text_col, width, fragments, shared_hot)
-    sets = common.stored(candidates(shared_ngrams(packed, fragments)).join(classes, "_key"), "candidate-sets")
-    comps = join_components(sets)
+    sets = common.stored(candidates(shared_ngrams(packed, fragments), fragments).join(classes, "_key"), "candidate-sets")
+    comps = join_components(sets, bits)
     of_class = classes.join(comps, classes["rep"] == comps["node"], "left").select("_key", F.coalesce("component", "rep").alias("component_id"))
     rows = found.select("_id", "n_shingles", "_key")
     return rows.join(of_class, "_key", "left").select(
@@ -323,10 +365,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows of docs that are the smallest id of their component; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, width)
-    first = found.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows of docs that are the smallest id of their component; rows without an id stay. All columns stay as they are."""
+    found = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width=width)
+    keep = common.fresh(docs, "keep")
+    first = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
+    return docs.join(first, F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ Profiles are learned from about `sample` labelled documents of each language, ch
 counted in the tasks, summed by a shuffle, and only the profiles (languages times `size` rows) reach the driver.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled document every text is
-`und`; ties go to the first language by name; null ids may be labelled, like any others.
+`und`; ties go to the first language by name; null ids may be labelled, like any others; rows that repeat are predicted
+alike; a text of any length is whole; an empty table gives an empty result; identify() replaces columns with the names
+of its two, accepted() leaves all as they are.
 """
 
 from __future__ import annotations
@@ -120,7 +122,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     def count(batches):
         for batch in batches:
             sums: dict[tuple[str, int], int] = {}
-            for lang, found in zip(batch.column("_lang").to_pylist(), _by_text(batch.column("_text").to_pylist(), widest)):
+            for lang, found in zip(batch.column("_lang").to_pylist(), _by_text(spans.strings(batch.column("_text")), widest)):
                 key, n = np.unique(found, return_counts=True)
                 for k, v in zip(key.view(np.int64).tolist(), n.tolist()):
                     sums[lang, k] = sums.get((lang, k), 0) + v
@@ -143,8 +145,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", widest
     def run(batches):
         known = shared.value
         for batch in batches:
-            texts = [x or "" for x in batch.column(text_col).to_pylist()]
-            near = [known.nearest(ranked(x, known.size)) for x in _by_text(texts, widest)]
+            near = [known.nearest(ranked(x, known.size)) for x in _by_text(spans.strings(batch.column(text_col)), widest)]
             added = [pa.array([x for x, _ in near], pa.string()), pa.array([x for _, x in near], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*keep, pred_col, score_col])
 
@@ -152,9 +153,13 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", widest
 
 
 def accepted(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text is in a known language: it has letters, and some profile is near enough."""
-    named = identify(docs, profiles, text_col, pred_col="_lang_pred", score_col="_score")
-    return named.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang_pred", "_score")
+    """The rows of docs whose text is in a known language: it has letters, and some profile is near enough.
+
+    All columns stay as they are, whatever their names.
+    """
+    pred, score = common.fresh(docs, "lang_pred"), common.fresh(docs, "score")
+    named = identify(docs, profiles, text_col, pred_col=pred, score_col=score)
+    return named.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -9,8 +9,9 @@ No step sorts a source or the corpus in one task. Cumulative sums run inside has
 grows with the rows, plus the sum of the ranges before. The global order is cut into ranges of virtual time; whole
 ranges are taken by their sums, and only the range in which the budget ends is sorted.
 
-Defined cases: a null text has size 0 and is never taken; a null source comes last; rows that repeat an id are mixed
-like any others; an empty table, or one without words, takes nothing.
+Defined cases: a null or empty text has size 0 and is never taken; a null source comes last; null ids are drawn like one
+id; rows that repeat an id are mixed like any others; equal finish times go by source; an empty table, or one without
+words, takes nothing; other columns stay as they are in mixed_rows(), whatever their names.
 """
 
 from __future__ import annotations
@@ -116,9 +117,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it. Rows of one id and size are taken alike."""
     taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    counts = taken.groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.min((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
-    here = F.col(id_col).eqNullSafe(F.col("_id")) & (common.words(F.col(text_col)) == F.col("_size"))
-    joined = docs.join(counts, here).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    own_id, own_size, many, copy = (common.fresh(docs, x) for x in ("id", "size", "copies", "copy"))
+    counts = taken.groupBy(F.col(id_col).alias(own_id), F.col("size").alias(own_size)).agg(F.min((F.col("taken") / F.col("size")).cast("int")).alias(many))
+    here = F.col(id_col).eqNullSafe(F.col(own_id)) & (common.words(F.col(text_col)) == F.col(own_size))
+    joined = docs.join(counts, here).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many))))
     return joined.select(*(docs[c] for c in docs.columns))
 
 

@@ -4,23 +4,31 @@ Patterns find assigned values, access keys and hexadecimal keys. Beside them, ev
 a candidate whose encoding is inferred, and which is tested as a random string of that encoding; so is each long part of
 a run between / _ -, as keys stand in paths and behind prefixes. The tests: chi-squared uniformity
 over the alphabet and over its classes of characters, a runs test about the middle of the alphabet, and serial
-correlation. The smallest p-value, times the number of tests, is the candidate's. By each encoding and class of length,
-Benjamini and Hochberg's rule tells which candidates are not random, so that many short words don't move the limit for
-long keys; those it leaves are secrets. The rule needs the order of p-values only up to bins of their logarithm, so
-a count by class and bin, of bounded size, replaces a global sort.
+correlation. The smallest p-value, times the number of tests, is the candidate's: the larger, the more it looks like a key.
 
-All of it is arithmetic on columns of the document's row: no text shuffles and nothing is exploded but bin numbers.
+A candidate is a secret when it looks more random than ordinary writing of its length can explain. Ordinary writing is
+decoys: the words of each document from a place given by a hash, glued with capitals as in identifiers, and cut at the
+least length of each class of lengths; to them come DECOYS glued from common words, so that a small corpus has some. The
+share of the decoys of a class that look as random as a candidate is its p-value under "ordinary", and Benjamini and
+Hochberg's rule per class of length accepts candidates so that at most RATE of the accepted are expected to be ordinary.
+The rule needs the order of p-values only up to bins of their logarithm, so a count by class and bin, of bounded size,
+replaces a global sort.
+
+Matches are exploded with the gaps before them, and windows of one document turn the gaps into places, so work is linear
+in a text's matches. Texts don't shuffle; matches of documents that have some do.
 
 Defined cases: a null or empty text has no spans; spans are in code points, ends exclusive; a candidate that touches
-a span of a pattern adds none; a part within a run that is a secret adds none; rows that repeat an id stand for themselves.
+a span of a pattern adds none; a part within a run that is a secret adds none; rows that repeat an id stand for themselves;
+an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
+from tidemark.llm.line_dedup import row_key
 
 #: Fixed patterns, in the order of kinds. The group is tested for its length.
 PATTERNS = [
@@ -44,9 +52,12 @@ SHAPES = [
     ("base32", "^(?=.*[2-7])[A-Z2-7]+$"), ("lower32", "^(?=.*[2-7])[a-z2-7]+$"),
     ("upper36", "^(?=.*[0-9])[A-Z0-9]+$"), ("lower36", "^(?=.*[0-9])[a-z0-9]+$"), ("base62", "^[A-Za-z0-9]+$"),
 ]
-#: First lengths of the classes of length, bins of a factor of two of p, and the rate of false discoveries.
-LENGTHS, BINS, RATE = (20, 28, 40, 64), 8, 0.05
+#: First lengths of the classes of length, bins of a factor of two of p, and the share of false secrets.
+LENGTHS, BINS, RATE = (20, 24, 32, 40, 64), 8, 0.05
 LEAST_P = 1e-9
+#: Characters of a document that its decoys are glued from, decoys glued from common words, and these words.
+DECOY_SOURCE, DECOYS = 160, 2000
+COMMON_WORDS = "the of and to in is for with on by at from get set user name value index list map item file path data type id count size read write open"
 
 
 def let(value: Column, body) -> Column:
@@ -54,24 +65,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(text: Column, pattern: str, group: int, least: int, kind: int, with_text: bool = False) -> Column:
-    """Spans of the matches whose group has `least` characters: array of start, kind, end, and the text."""
-    kept = "array<struct<start:int,kind:int,end:int" + (",text:string>>" if with_text else ">>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["before"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *([x["m"].alias("text")] if with_text else []))
-        added = F.when(F.length(x["g"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("pos"), added.cast(kept).alias("out")))
-
-    none = F.array().cast(kept)
+def matches(text: Column, pattern: str, group: int, kind: int, with_text: bool = False) -> Column:
+    """The matches in order: array of kind, gap (characters since the one before), size, of (of the group), and the text."""
+    kept = "array<struct<kind:int,gap:int,size:int,of:int,text:string>>"
 
     def placed(m: Column) -> Column:
         # Most texts have no match; only the others are searched for groups and split.
         groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else m
-        found = F.arrays_zip(m.alias("m"), groups.alias("g"), F.split(text, pattern, -1).alias("before"))
-        return F.when(F.size(m) == 0, none).otherwise(F.aggregate(found, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"]))
+        found = F.transform(
+            F.arrays_zip(m.alias("m"), groups.alias("g"), F.slice(F.split(text, pattern, -1), 1, F.size(m)).alias("before")),
+            lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["before"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(x["g"]).alias("of"), (x["m"] if with_text else F.lit(None).cast("string")).alias("text")),
+        )
+        return F.when(F.size(m) == 0, F.array().cast(kept)).otherwise(found)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
@@ -152,7 +157,7 @@ def element(v: Column, k: int) -> Column:
 
 def class_test(s: Column, enc: Column, n: Column) -> Column:
     """Chi-squared over the classes of characters of the alphabet."""
-    counts = [F.length(F.regexp_replace(s, f"[^{c}]", "")) for c in ("A-Z", "a-z", "0-9", "+/_-")]
+    counts = [F.length(F.regexp_replace(s, f"[^{c}]", "")).cast("double") for c in ("A-Z", "a-z", "0-9", "+/_-")]
     found = F.lit(None).cast("double")
     for name, (alphabet, sizes) in ALPHABETS.items():
         size = len(alphabet)
@@ -165,49 +170,73 @@ def class_test(s: Column, enc: Column, n: Column) -> Column:
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, base (sorted spans of the patterns), cand (other candidates with class and bin)."""
+    """One row per row of docs: _id, _row, found (matches of all patterns and candidates), decoys."""
     text = common.whole(text_col)
-    base = F.array_sort(F.concat(*(matches(text, pattern, group, least, k) for k, (_, pattern, group, least) in enumerate(PATTERNS))))
-    found = docs.select(F.col(id_col).alias("_id"), base.alias("base"), matches(text, CANDIDATE, 0, 20, len(PATTERNS), True).alias("cand"))
-
-    def measured(c: Column) -> Column:
-        n = F.length(c["text"])
-        length = sum((F.when(n >= a, 1).otherwise(0) for a in LENGTHS[1:]), F.lit(0))
-
-        def whole(enc: Column) -> Column:
-            p = p_value(c["text"], enc)
-            return F.struct(
-                c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"),
-                F.concat_ws(":", enc, length.cast("string")).alias("cls"),
-                F.floor(-F.log2(p) * BINS).cast("int").alias("bin"),
-                (n * of_encoding(enc, {name: len(alphabet).bit_length() - 1 for name, (alphabet, _) in ALPHABETS.items()})).alias("bits"),
-            )
-
-        return let(encoding(c["text"]), whole)
-
-    def parts(c: Column) -> Column:
-        # The parts of a run that has several.
-        inside = F.transform(
-            matches(c["text"], PART, 0, 20, len(PATTERNS), True),
-            lambda x: F.struct((c["start"] + x["start"]).alias("start"), x["kind"].alias("kind"), (c["start"] + x["end"]).alias("end"), x["text"].alias("text")),
-        )
-        return F.when(c["text"].rlike("[/_-]"), inside).otherwise(F.filter(F.array(c), lambda x: F.lit(False)))
-
-    found = found.select("_id", "base", F.concat("cand", F.flatten(F.transform("cand", parts))).alias("cand"))
-    free = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return found.select("_id", "base", F.transform(free, measured).alias("cand"))
-
-
-def limits(scans: DataFrame, rate: float = RATE) -> dict[str, int]:
-    """By class, the least bin whose candidates are not random. Reads one row per class and bin."""
-    rows = scans.select(F.explode("cand").alias("c")).groupBy("c.cls", "c.bin").agg(F.count(F.lit(1)).alias("n")).collect()
-    found: dict[str, int] = {}
+    found = [matches(text, pattern, group, k) for k, (_, pattern, group, _) in enumerate(PATTERNS)]
+    found.append(matches(text, CANDIDATE, 0, len(PATTERNS), True))
+    place = F.pmod(F.xxhash64(text_col), F.greatest(F.char_length(text) - DECOY_SOURCE, F.lit(1))) + 1
+    written = F.regexp_replace(F.substring(text, place.cast("int"), F.lit(DECOY_SOURCE)), CANDIDATE, " ")
+    return docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_row"), F.concat(*found).alias("found"), glued(written).alias("decoy"))
+
+
+def glued(text: Column) -> Column:
+    """Words with capitals and without what stands between them."""
+    return F.regexp_replace(F.initcap(text), "[^A-Za-z0-9]+", "")
+
+
+def common_decoys(spark: SparkSession) -> DataFrame:
+    """Strings glued from common words, by a rule."""
+    words = F.array(*map(F.lit, COMMON_WORDS.split()))
+    chosen = [F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.size(words)) + 1).cast("int")) for k in range(30)]
+    return spark.range(DECOYS).select(glued(F.concat_ws(" ", *chosen)).alias("decoy"))
+
+
+def length_class(n: Column) -> Column:
+    return sum((F.when(n >= a, 1).otherwise(0) for a in LENGTHS[1:]), F.lit(0))
+
+
+def binned(rows: DataFrame) -> DataFrame:
+    """rows with cls, the class of length of their text, and bin, that of their p-value."""
+    named = rows.withColumn("enc", encoding(F.col("text")))
+    return named.withColumn("cls", length_class(F.length("text"))).withColumn("bin", F.floor(-F.log2(p_value(F.col("text"), F.col("enc"))) * BINS).cast("int"))
+
+
+def spans_of(scans: DataFrame) -> DataFrame:
+    """A row per span: _row, kind, start, end, text; candidates that touch no pattern's span, with run, the start of their run, and is_run."""
+    each = scans.where(F.size("found") > 0).groupBy("_row").agg(F.first("found").alias("found"))
+    each = each.select("_row", F.posexplode("found").alias("i", "x")).select("_row", "i", "x.*")
+    upto = Window.partitionBy("_row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    least = F.element_at(F.array(*(F.lit(n) for *_, n in PATTERNS), F.lit(LENGTHS[0])), F.col("kind") + 1)
+    each = each.where(F.col("of") >= least)
+
+    runs = each.where(F.col("kind") == len(PATTERNS)).select("_row", "kind", "start", "end", "text", F.col("start").alias("run"), F.lit(True).alias("is_run"))
+    inside = runs.where(F.col("text").rlike("[/_-]")).select("_row", "run", F.posexplode(matches(F.col("text"), PART, 0, len(PATTERNS), True)).alias("i", "x")).select("_row", "run", "i", "x.*")
+    within = Window.partitionBy("_row", "run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    parts = inside.withColumn("end", (F.col("run") + F.sum(F.col("gap") + F.col("size")).over(within)).cast("int")).select(
+        "_row", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "text", "run", F.lit(False).alias("is_run")
+    )
+    base = each.where(F.col("kind") < len(PATTERNS)).select("_row", "kind", "start", "end", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("run"), F.lit(None).cast("boolean").alias("is_run"))
+    every = base.unionByName(runs).unionByName(parts)
+    # A candidate touches a pattern's span if, of those that begin before its end, one ends after its start.
+    at = F.when(F.col("text").isNull(), F.col("start")).otherwise(F.col("end") - 1)
+    before = Window.partitionBy("_row").orderBy(at, F.col("text").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("text").isNull(), F.col("end"))).over(before)
+    return every.withColumn("reach", reach).where(F.col("text").isNull() | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).drop("reach")
+
+
+def limits(candidates: DataFrame, decoys: DataFrame, rate: float = RATE) -> dict[int, int]:
+    """By class of length, the last bin whose candidates are secrets. Reads one row per class and bin."""
+    both = candidates.select("cls", "bin", F.lit(1).alias("own")).unionByName(decoys.select("cls", "bin", F.lit(0).alias("own")))
+    rows = both.groupBy("cls", "bin").agg(F.sum("own").alias("own"), F.count(F.lit(1)).alias("n")).collect()
+    found: dict[int, int] = {}
     for cls in {r["cls"] for r in rows}:
-        own = sorted(((r["bin"], r["n"]) for r in rows if r["cls"] == cls), reverse=True)
-        total, upto = sum(n for _, n in own), 0
-        for k, n in own:  # from the smallest p-values on
-            upto += n
-            if 2.0 ** (-k / BINS) <= upto * rate / total:
+        bins = sorted((r["bin"], r["own"], r["n"] - r["own"]) for r in rows if r["cls"] == cls)
+        total, ordinary = sum(n for _, n, _ in bins), sum(d for *_, d in bins)
+        accepted = alike = 0
+        for k, n, d in bins:  # from the most random on
+            accepted, alike = accepted + n, alike + d
+            if accepted and (1 + alike) / (1 + ordinary) <= rate * accepted / total:
                 found[cls] = k
     return found
 
@@ -219,21 +248,26 @@ def joined_spans(spans: Column) -> Column:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """One row per row of docs: id, base and every, arrays of spans (start, kind, end) in order."""
+    spark = docs.sparkSession
     scans = common.stored(scanned(docs, id_col, text_col), "secret-scan")
-    not_random = F.lit(False)
-    by_class = limits(scans, rate)
-
-    def stays(c: Column) -> Column:
-        rejected = not_random
-        for cls, least in sorted(by_class.items()):
-            rejected = rejected | ((c["cls"] == cls) & (c["bin"] >= least))
-        return ~rejected & (c["bits"] >= LEAST_BITS)
-
-    def outermost(kept: Column) -> Column:
-        return F.filter(kept, lambda c: ~F.exists(kept, lambda k: (k["start"] <= c["start"]) & (c["end"] <= k["end"]) & (c["end"] - c["start"] < k["end"] - k["start"])))
-
-    added = F.transform(let(F.filter("cand", stays), outermost), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return scans.select(F.col("_id").alias(id_col), "base", F.array_sort(F.concat("base", added)).alias("every"))
+    found = common.stored(spans_of(scans), "secret-spans")
+    bits = F.length("text") * of_encoding(F.col("enc"), {name: len(alphabet).bit_length() - 1 for name, (alphabet, _) in ALPHABETS.items()})
+    candidates = common.stored(binned(found.where("text is not null")).where(bits >= LEAST_BITS).drop("text"), "secret-candidates")
+    written = scans.select("decoy").unionByName(common_decoys(spark))
+    cuts = written.select(F.explode(F.array(*(F.when(F.length("decoy") >= n, F.substring("decoy", 1, n)) for n in LENGTHS))).alias("text")).where("text is not null")
+    accepted = limits(candidates, binned(cuts), rate)
+
+    is_secret = F.lit(False)
+    for cls, last in sorted(accepted.items()):
+        is_secret = is_secret | ((F.col("cls") == cls) & (F.col("bin") <= last))
+    of_run = Window.partitionBy("_row", "run")
+    outermost = candidates.where(is_secret).withColumn("whole", F.max("is_run").over(of_run)).where(F.col("is_run") | ~F.col("whole"))
+    span = F.struct("start", "kind", "end")
+    spans = found.where("text is null").select("_row", span.alias("x")).unionByName(outermost.select("_row", span.alias("x")))
+    by_row = spans.groupBy("_row").agg(F.array_sort(F.collect_set("x")).alias("every"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    joined = scans.select("_id", "_row").join(by_row, "_row", "left").select(F.col("_id").alias(id_col), F.coalesce("every", none).alias("every"))
+    return joined.select(id_col, F.filter("every", lambda x: x["kind"] < len(PATTERNS)).alias("base"), "every")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,18 +3,24 @@
 Each batch of changes becomes signed sums: an insert adds a document and its tokens, a delete takes them away, a revised
 count adds the difference. Sums are additive, so totals are the sum over committed batches. A batch is one folder, which
 Spark's committer completes with a marker; committing an id that has its marker changes nothing, and a batch that broke
-off is written anew. compact() folds all batches into one snapshot, which remembers their ids.
+off is written anew. compact() folds all batches into one snapshot, whose table remembers their ids, a row for each,
+and then removes their folders; one that broke off after its snapshot counts no batch twice.
 
 Defined cases: a null source, language or version is a group of its own; a change of unknown kind, or with a null count,
-raises; a group whose documents and tokens come back to 0 leaves the totals; without batches the totals are empty.
+raises; rows that repeat are changes of their own; a group whose documents and tokens come back to 0 leaves the totals;
+without batches the totals are empty, and an empty batch adds nothing; other columns of a batch are not read; columns of
+documents stay in counted(), but for the text and those with the name of a count, which is put in their place.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import bpe, common, spans
 
@@ -41,55 +47,65 @@ class Rollup:
     def _files(self, name: str):
         return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def committed(self, batch: str) -> bool:
-        if self._files("").exists(self._path(f"batch={batch}/_SUCCESS")):
-            return True
-        snapshot = self._snapshot()
-        return snapshot is not None and snapshot.where(F.array_contains("batches", batch)).limit(1).count() > 0
-
-    def _snapshot(self) -> DataFrame | None:
-        names = self._complete("snapshot=")
-        return self.spark.read.schema("batches array<string>").parquet(f"{self.folder}/{max(names)}/batches") if names else None
-
     def _complete(self, kind: str) -> list[str]:
-        """Folders of a kind that have their marker."""
+        """Names of the folders of a kind that have their marker, in order."""
         files = self._files("")
         if not files.exists(self._path("")):
             return []
         names = [s.getPath().getName() for s in files.listStatus(self._path(""))]
         marker = "sums/_SUCCESS" if kind == "snapshot=" else "_SUCCESS"
-        return [n for n in names if n.startswith(kind) and files.exists(self._path(f"{n}/{marker}"))]
+        return sorted(n for n in names if n.startswith(kind) and files.exists(self._path(f"{n}/{marker}")))
+
+    def _folded(self) -> DataFrame | None:
+        """batch: the ids in the last snapshot."""
+        names = self._complete("snapshot=")
+        return self.spark.read.schema("batch string").parquet(f"{self.folder}/{names[-1]}/batches") if names else None
+
+    def _open(self) -> list[str]:
+        """Folders of committed batches that the last snapshot lacks. Reads the ids of folders that are there."""
+        names = self._complete("batch=")
+        folded = self._folded()
+        if not names or folded is None:
+            return names
+        ids = {unquote(n.removeprefix("batch=")): n for n in names}
+        return sorted(set(names) - {ids[r["batch"]] for r in folded.where(F.col("batch").isin(list(ids))).distinct().collect()})
+
+    def committed(self, batch: str) -> bool:
+        if self._files("").exists(self._path(f"batch={quote(batch, safe='')}/_SUCCESS")):
+            return True
+        folded = self._folded()
+        return folded is not None and not folded.where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch once; False if it was there already."""
         if self.committed(batch):
             return False
-        signed(changes).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        signed(changes).write.mode("overwrite").parquet(f"{self.folder}/batch={quote(batch, safe='')}")
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, docs, tokens."""
-        snapshots = self._complete("snapshot=")
-        done = set(self._snapshot().first()["batches"]) if snapshots else set()
-        paths = [f"{self.folder}/{n}" for n in self._complete("batch=") if n.removeprefix("batch=") not in done]
-        paths += [f"{self.folder}/{max(snapshots)}/sums"] if snapshots else []
+        paths = [f"{self.folder}/{n}" for n in self._open()] + [f"{self.folder}/{n}/sums" for n in self._complete("snapshot=")[-1:]]
         if not paths:
             return self.spark.createDataFrame([], SUMS)
         sums = self.spark.read.schema(SUMS).parquet(*paths).groupBy(*KEYS)
         return sums.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """A snapshot of all committed batches; its sums are written last and complete it."""
-        done = sorted({n.removeprefix("batch=") for n in self._complete("batch=")} | set(self._snapshot().first()["batches"] if self._snapshot() is not None else ()))
-        name = f"snapshot={len(self._complete('snapshot=')):09d}"
-        self.spark.createDataFrame([(done,)], "batches array<string>").write.mode("overwrite").parquet(f"{self.folder}/{name}/batches")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{name}/sums")
+        """A snapshot of all committed batches; its sums are written last and complete it, and what it folded is removed."""
+        before, folders = self._complete("snapshot="), self._open()
+        name = f"snapshot={int(before[-1].removeprefix('snapshot=')) + 1 if before else 0:09d}"
+        ids = self.spark.createDataFrame([(unquote(n.removeprefix("batch=")),) for n in folders], "batch string")
+        folded = self._folded()
+        (ids if folded is None else folded.unionByName(ids)).write.mode("overwrite").parquet(f"{self.folder}/{name}/batches")
+        self.totals().write.mode("overwrite").parquet(f"{self.folder}/{name}/sums")
+        for old in (*self._complete("batch="), *before):
+            if old in before or old in folders:
+                self._files("").delete(self._path(old), True)
 
 
 def counted(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """docs without the text, with n_words, n_bpe and n_bpe_normalised: the count after white space is made single."""
-    from pyspark.sql import types as T
-
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(bpe.read_bytes(vocabulary or bpe.default_vocabulary()))
     added = ["n_words", "n_bpe", "n_bpe_normalised"]
@@ -98,9 +114,8 @@ def counted(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
     def run(batches):
         resolved = bpe._encoder(ranks.value).resolved
         for batch in batches:
-            texts = [x or "" for x in batch.column(text_col).to_pylist()]
             at = 0
-            for some in spans.chunks(texts):
+            for some in spans.chunks(spans.strings(batch.column(text_col))):
                 found = []
                 normal = [" ".join(b.decode() for b in t.encode().split()) for t in some]
                 for each in (some, normal):

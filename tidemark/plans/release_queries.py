@@ -9,7 +9,7 @@ from tidemark.operators import events as E, quality as Q, release as R, windows
 from tidemark.plans.series_queries import _HISTORY, rd, rounded
 from tidemark.plans.table_queries import _GRID, _MONTHLY, _grid, _monthly
 from tidemark.sinks import publication as K
-from tidemark.sources import contracts as C, documents as D, points as P
+from tidemark.sources import contracts as C, documents as D, grids as G, points as P
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -329,3 +329,91 @@ def _(spark, sf):
 def _(spark, sf):
     s = P.indicator_points(spark, sf).groupBy("indicator_id").agg(F.first("scope").alias("scope"), F.count(F.lit(1)).alias("n"), F.min("month").alias("first"), F.max("month").alias("last"))
     return s.select(K.quoted_csv(s).alias("line"))
+
+
+# Facts in documents and files.
+
+
+@query("complete_years", """WITH c AS (SELECT o_orderpriority AS k, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS m, avg(o_totalprice) / 100000 AS v FROM orders WHERE month(o_orderdate) % 5 <> 0 GROUP BY ALL),
+y AS (SELECT DISTINCT k, year FROM c), f AS (SELECT k, year, unnest(range(1, 13))::INT AS m FROM y) SELECT f.k, f.year, f.m AS cal_month, """ + rd("c.v") + """ AS value FROM f LEFT JOIN c USING (k, year, m)""")
+def _(spark, sf):
+    o = t(spark, sf, "orders").where(F.month("o_orderdate") % 5 != 0)
+    cells = o.groupBy(F.col("o_orderpriority").alias("k"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("cal_month")).agg((F.avg("o_totalprice") / 100000).alias("value"))
+    return G.complete_years(cells, "k").select("k", "year", "cal_month", "value")
+
+
+_BASIN = "['Final El Niño Advisory', 'Final La Niña Advisory', 'El Niño Advisory', 'La Niña Advisory', 'El Niño Watch', 'La Niña Watch', 'Not Active']"
+
+
+@query("advisories", f"""SELECT s_suppkey AS k, CASE WHEN s_suppkey % 9 = 8 THEN 'Something else' ELSE {_BASIN}[s_suppkey % 7 + 1] END AS alert, CASE s_suppkey % 3 WHEN 0 THEN printf('%d July 2026', s_suppkey % 28 + 1) WHEN 1 THEN printf('July %d, 2026', s_suppkey % 28 + 1) END AS date,
+'Part ' || s_suppkey || ' is expected.' AS synopsis FROM supplier""")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    alert = F.when(k % 9 == 8, "Something else").otherwise(F.element_at(F.array(*map(F.lit, D.BASIN_ALERTS)), (k % 7 + 1).cast("int")))
+    date = F.when(k % 3 == 0, F.format_string("%d July 2026", k % 28 + 1)).when(k % 3 == 1, F.format_string("July %d, 2026", k % 28 + 1)).otherwise("")
+    text = F.concat(date, F.lit(" ENSO  Alert System Status: "), alert, F.lit(" Synopsis: "), F.format_string("Part %d is expected.", k), F.when(k % 2 == 0, " [12] more").otherwise(" Climate Prediction Center"))
+    return t(spark, sf, "supplier").select(k.alias("k"), D.advisory(text).alias("a")).select("k", "a.*")
+
+
+@query("index_statements", f"""WITH s AS (SELECT s_suppkey AS doc, s_suppkey % 7 AS c FROM supplier WHERE s_suppkey % 7 <> 6)
+SELECT doc::VARCHAR AS doc, CASE c WHEN 1 THEN 'implausible value' WHEN 2 THEN 'ambiguous values' END AS problem, CASE WHEN c NOT IN (1, 2) THEN printf('%d-%02d', (2020 + doc % 5)::INT, (doc % 12 + 1)::INT) END AS period,
+{rd("CASE WHEN c NOT IN (1, 2) THEN (doc % 40 - 20) / 10.0::DOUBLE END")} AS value, CASE WHEN c NOT IN (1, 2) THEN 2 END AS page_no FROM s""")
+def _(spark, sf):
+    k, c = F.col("s_suppkey"), F.col("s_suppkey") % 7
+    month = F.element_at(F.array(*map(F.lit, D.MONTHS_ES)), (k % 12 + 1).cast("int"))
+    number = F.translate(F.format_string("%.1f", (k % 40 - 20) / 10), "-.", "−,")
+    said = F.concat(F.lit("El ICEN correspondiente a "), F.when(month == "septiembre", "setiembre").otherwise(month), F.lit(" de "), (2020 + k % 5).cast("string"), F.lit(" fue "), F.when(c == 1, "9,9").otherwise(number), F.lit(" °C. "))
+    text = F.when(c == 2, F.concat(said, said)).when(c == 6, "El ICEN no se publica.").otherwise(said)
+    both = F.array(F.struct(F.lit(1).alias("page_no"), F.lit("Nada del ICEN aquí").alias("text")), F.struct(F.lit(2).alias("page_no"), text.alias("text")))
+    pages = t(spark, sf, "supplier").select(k.cast("string").alias("doc"), F.explode(both).alias("p")).select("doc", "p.*")
+    return D.icen_facts(pages).select("doc", "problem", "period", "value", "page_no")
+
+
+@query("newest_post", "SELECT arg_max(s_suppkey, (s_suppkey % 365, s_suppkey)) AS id, 'Comunicado ' || arg_max(s_suppkey, (s_suppkey % 365, s_suppkey)) AS title FROM supplier WHERE s_suppkey % 3 = 0")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    rendered = lambda x: F.struct(x.alias("rendered"))
+    day = F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), (k % 365).cast("int")), "yyyy-MM-dd")
+    post = F.struct(k.alias("id"), day.alias("date"), rendered(F.concat(F.when(k % 3 == 0, "Comunicado ").otherwise("Nota "), k.cast("string"))).alias("title"), rendered(F.lit("<p>x</p>")).alias("content"))
+    bodies = t(spark, sf, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(post)).alias("body"))
+    return D.newest_post(bodies, "^Comunicado").select("id", "title")
+
+
+@query("newest_link", "SELECT max(2000 + s_suppkey % 20)::INT AS year, max(s_suppkey) FILTER (WHERE s_suppkey % 20 = (SELECT max(s_suppkey % 20) FROM supplier))::INT AS number FROM supplier")
+def _(spark, sf):
+    link = F.format_string("<li><a class='x' href=\"/f/%d.pdf\">Boletín N° %d - %d</a>", "s_suppkey", "s_suppkey", 2000 + F.col("s_suppkey") % 20)
+    pages = t(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(link), "").alias("html"))
+    return D.newest_link(pages).select("year", "number")
+
+
+@query("pdf_problems", "SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'wrong type' WHEN 1 THEN 'no header' WHEN 2 THEN 'no end' END AS problem, sha256('%PDF-1.7 ' || s_suppkey || ' %%EOF') AS digest FROM supplier")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    whole = F.concat(F.lit("%PDF-1.7 "), k.cast("string"), F.lit(" %%EOF"))
+    body = F.when(k % 5 == 1, F.concat(F.lit("x"), whole)).when(k % 5 == 2, F.substring_index(whole, " ", 2)).otherwise(whole)
+    kind = F.when(k % 5 == 0, "text/html").otherwise("application/pdf; v=1")
+    return t(spark, sf, "supplier").select(k.alias("k"), D.pdf_problem(F.encode(body, "utf-8"), kind).alias("problem"), F.sha2(whole, 256).alias("digest"))
+
+
+@query("file_manifest", "SELECT sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha256, sum(length(n_name) + 1)::BIGINT AS length FROM nation")
+def _(spark, sf):
+    """The manifest of a folder with one text file."""
+    folder = K.new_folder(spark, "manifest")
+    t(spark, sf, "nation").select("n_name").coalesce(1).sortWithinPartitions("n_name").write.text(folder)
+    return K.manifest(spark, folder).where("length > 0").select("sha256", "length")
+
+
+@query("append_ledger", "SELECT s_nationkey AS k, 2 * count(*) AS entries FROM supplier GROUP BY 1")
+def _(spark, sf):
+    """A ledger that the same entries were added to twice: nothing is replaced."""
+    folder, entries = K.new_folder(spark, "ledger"), t(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
+    for _ in range(2):
+        K.append_ledger(entries, folder)
+    return spark.read.parquet(folder).groupBy("k").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("normal_cdf", f"""WITH {P.POINTS_SQL}, x AS (SELECT indicator_id, month, value AS v, 1 / (1 + 0.3275911::DOUBLE * abs(value / sqrt(2.0::DOUBLE))) AS t FROM points WHERE value IS NOT NULL),
+e AS (SELECT *, 1 - t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-v * v / 2) AS a FROM x)
+SELECT indicator_id, month, {rd('0.5::DOUBLE * (1 + sign(v) * a)')} AS below FROM e""")
+def _(spark, sf):
+    return P.indicator_points(spark, sf).where("value is not null").select("indicator_id", "month", S.normal_cdf(F.col("value")).alias("below"))

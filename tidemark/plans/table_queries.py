@@ -397,7 +397,8 @@ def _(spark, sf):
     return back.select(F.col("j.indicatorId").alias("indicator_id"), F.col("j.scope").alias("scope"), F.explode("j.points").alias("p")).select("indicator_id", "scope", "p.month", "p.value", "p.flag")
 
 
-@query("series_checksums", None)
+@query("series_checksums", f"""WITH {P.POINTS_SQL}, w AS (SELECT indicator_id, list([ascii(month[1]) + length(month), CASE WHEN value IS NULL THEN 9999 ELSE round_even(value * 1000, 0)::BIGINT END + 2654435769] ORDER BY month_idx) AS l FROM points GROUP BY 1)
+SELECT indicator_id, upper(lpad(to_hex(list_reduce(list_prepend(xor(2166136261::BIGINT, length(indicator_id)::BIGINT), flatten(l)), lambda h, x: (xor(h & 4294967295, x & 4294967295) * 16777619) & 4294967295)), 8, '0')) AS checksum FROM w""")
 def _(spark, sf):
     return K.checksums(P.indicator_points(spark, sf))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -11,8 +11,8 @@ from tidemark.functions import scalars as S
 HISTORY = [("nino34", "cuenca", 0.5), ("nino12", "costero", 0.4)]
 
 
-def extract_periods(points: DataFrame, threshold: float = 0.5, strict_end: bool = False) -> DataFrame:
-    """Runs of months of one phase, per indicator.
+def extract_periods(points: DataFrame, threshold: float | Column = 0.5, strict_end: bool = False) -> DataFrame:
+    """Runs of months of one phase, per indicator; the threshold may be a column of it.
 
     Unknown months don't break a run. A run ends with the month that breaks it, and an open one with the last row,
     known or not; strict_end ends it with its own last month instead. The peak is the first month of the largest size.
@@ -34,12 +34,12 @@ def extract_periods(points: DataFrame, threshold: float = 0.5, strict_end: bool
 
 
 def alert_history(points: DataFrame) -> DataFrame:
-    """Periods of all scopes with their intensity."""
-    found = None
-    for order, (indicator, scope, threshold) in enumerate(HISTORY):
-        part = extract_periods(points.where(F.col("indicator_id") == indicator), threshold).select("*", F.lit(scope).alias("scope"), F.lit(order).alias("scope_ord"), F.lit(threshold).alias("threshold"))
-        found = part if found is None else found.unionByName(part)
-    return found.withColumn("intensity", S.intensity_label(F.col("peak"), F.col("scope"), F.col("threshold")))
+    """Periods of all scopes with their intensity, in one pass over the points."""
+    of = lambda part: F.coalesce(*(F.when(F.col("indicator_id") == row[0], F.lit(part(i, row))) for i, row in enumerate(HISTORY)))
+    threshold = of(lambda i, row: row[2])
+    found = extract_periods(points.where(F.col("indicator_id").isin(*(row[0] for row in HISTORY))), threshold)
+    named = found.select("*", of(lambda i, row: row[1]).alias("scope"), of(lambda i, row: i).alias("scope_ord"), threshold.alias("threshold"))
+    return named.withColumn("intensity", S.intensity_label(F.col("peak"), F.col("scope"), F.col("threshold")))
 
 
 def event_catalog(points: DataFrame) -> DataFrame:

@@ -41,41 +41,48 @@ def _monthly(spark, sf_dir):
 
 
 def _year_lines(spark, sf_dir, sep: str, fill: str, form: str = "%.2f"):
-    wide = _monthly(spark, sf_dir).where("k = '1-URGENT'").groupBy("y").pivot("m", list(range(1, 13))).agg(F.first("v"))
+    """k and line: a table of years for each priority."""
+    wide = _monthly(spark, sf_dir).groupBy("k", "y").pivot("m", list(range(1, 13))).agg(F.first("v"))
     cells = [F.when(F.col(str(i)).isNotNull(), F.format_string(form, F.col(str(i)))).otherwise(fill) for i in range(1, 13)]
-    return wide.select(F.concat_ws(sep, F.col("y").cast("string"), *cells).alias("line"))
+    return wide.select("k", F.concat_ws(sep, F.col("y").cast("string"), *cells).alias("line"))
 
 
-_YEARS = f"""WITH {_MONTHLY}, u AS (SELECT * FROM m WHERE k = '1-URGENT'), g AS (SELECT y, mm.mm FROM (SELECT DISTINCT y FROM u) CROSS JOIN range(1, 13) mm(mm))
-SELECT printf('%04d-%02d', g.y, g.mm) AS month, {rd('u.v')} AS value FROM g LEFT JOIN u ON u.y = g.y AND u.m = g.mm"""
+def _noise(spark, *lines: str):
+    """Lines that a parser should skip."""
+    return spark.createDataFrame([("-", x) for x in lines], "k string, line string")
+
+
+_YEARS = f"""WITH {_MONTHLY}, g AS (SELECT k, y, mm.mm FROM (SELECT DISTINCT k, y FROM m) CROSS JOIN range(1, 13) mm(mm))
+SELECT g.k, printf('%04d-%02d', g.y, g.mm) AS month, {rd('m.v')} AS value FROM g LEFT JOIN m ON m.k = g.k AND m.y = g.y AND m.m = g.mm"""
 
 
 @query("source_wide_years", _YEARS)
 def _(spark, sf):
-    return T.wide_years(_year_lines(spark, sf, ",", "-99.00").unionByName(spark.createDataFrame([("# note",), ("year,1,2",), ("",)], "line string")))
+    return T.wide_years(_year_lines(spark, sf, ",", "-99.00").unionByName(_noise(spark, "# note", "year,1,2", "")), keep=("k",))
 
 
 @query("source_wide_years_spaces", _YEARS)
 def _(spark, sf):
-    return T.wide_years(_year_lines(spark, sf, "  ", "-999.0").unionByName(spark.createDataFrame([("<html>",)], "line string")), low=-999.0, high=None, size=1e6)
+    return T.wide_years(_year_lines(spark, sf, "  ", "-999.0").unionByName(_noise(spark, "<html>")), low=-999.0, high=None, size=1e6, keep=("k",))
 
 
 @query("source_wide_years_exact", _YEARS)
 def _(spark, sf):
-    return T.wide_years(_year_lines(spark, sf, " ", "-99.99"), low=None, high=None, exact=(-99.99, -999.0, -9999.0))
+    return T.wide_years(_year_lines(spark, sf, " ", "-99.99"), low=None, high=None, exact=(-99.99, -999.0, -9999.0), keep=("k",))
 
 
 @query("source_monthly_section", _YEARS)
 def _(spark, sf):
-    body = _year_lines(spark, sf, "", "-999.9", "%+.2f").select(F.concat(F.substring("line", 1, 4), F.lit(" "), F.substring("line", 5, 10_000)).alias("line"))
-    text = body.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("b")).select(F.concat(F.lit("ANOMALY\n1800 1 2 3 4 5 6 7 8 9 10 11 12\nSTANDARDIZED    DATA\nYEAR JAN\n"), "b").alias("text"))
-    return T.monthly_sections(text, "Standardized")
+    """A text for each priority, with a section before the wanted one."""
+    body = _year_lines(spark, sf, "", "-999.9", "%+.2f").select("k", F.concat(F.substring("line", 1, 4), F.lit(" "), F.substring("line", 5, 10_000)).alias("line"))
+    text = body.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("b")).select("k", F.concat(F.lit("ANOMALY\n1800 1 2 3 4 5 6 7 8 9 10 11 12\nSTANDARDIZED    DATA\nYEAR JAN\n"), "b").alias("text"))
+    return T.monthly_sections(text, "Standardized", keep=("k",))
 
 
-@query("source_seasonal", f"""WITH {_MONTHLY} SELECT ['DJF','JFM','FMA','MAM','AMJ','MJJ','JJA','JAS','ASO','SON','OND','NDJ'][m] AS season, printf('%04d-%02d', y, m) AS month, {rd('v')} AS value, CASE WHEN y >= 2001 THEN 'preliminary' ELSE 'final' END AS flag FROM m WHERE k = '2-HIGH'""")
+@query("source_seasonal", f"""WITH {_MONTHLY} SELECT k, ['DJF','JFM','FMA','MAM','AMJ','MJJ','JJA','JAS','ASO','SON','OND','NDJ'][m] AS season, printf('%04d-%02d', y, m) AS month, {rd('v')} AS value, CASE WHEN y >= 2001 THEN 'preliminary' ELSE 'final' END AS flag FROM m""")
 def _(spark, sf):
-    lines = _monthly(spark, sf).where("k = '2-HIGH'").select(F.format_string(" %s  %d %.2f", F.element_at(F.array(*map(F.lit, S.SEASONS)), F.col("m")), "y", "v").alias("line"))
-    return T.seasonal(lines.unionByName(spark.createDataFrame([("SEAS YR ANOM",), ("# x",)], "line string")), 2001)
+    lines = _monthly(spark, sf).select("k", F.format_string(" %s  %d %.2f", F.element_at(F.array(*map(F.lit, S.SEASONS)), F.col("m")), "y", "v").alias("line"))
+    return T.seasonal(lines.unionByName(_noise(spark, "SEAS YR ANOM", "# x")), 2001, keep=("k",))
 
 
 @query("source_weekly", f"""WITH w AS (SELECT date_trunc('week', o_orderdate)::DATE AS day, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') / 100000 - 2.5, 1) AS a, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '2-HIGH') / 100000 - 2.5, 1) AS b FROM orders GROUP BY 1),
@@ -89,10 +96,10 @@ def _(spark, sf):
     return T.weekly(lines.unionByName(spark.createDataFrame([(" Weekly SST data",), (" 03JAN1990     23.4-99.9     25.1-0.3     26.6-99.9     28.6 0.3",)], "line string")))
 
 
-@query("source_dated_csv", f"WITH {_MONTHLY} SELECT printf('%04d-%02d', y, m) AS month, {rd('CASE WHEN m <> 7 THEN v END')} AS value FROM m WHERE k = '3-MEDIUM'")
+@query("source_dated_csv", f"WITH {_MONTHLY} SELECT k, printf('%04d-%02d', y, m) AS month, {rd('CASE WHEN m <> 7 THEN v END')} AS value FROM m")
 def _(spark, sf):
-    lines = _monthly(spark, sf).where("k = '3-MEDIUM'").select(F.format_string("%d-%02d-01, %.2f", "y", "m", F.when(F.col("m") == 7, -99.99).otherwise(F.col("v"))).alias("line"))
-    return T.dated(lines.unionByName(spark.createDataFrame([("Date,Value",)], "line string")))
+    lines = _monthly(spark, sf).select("k", F.format_string("%d-%02d-01, %.2f", "y", "m", F.when(F.col("m") == 7, -99.99).otherwise(F.col("v"))).alias("line"))
+    return T.dated(lines.unionByName(_noise(spark, "Date,Value")), keep=("k",))
 
 
 @query("source_multi_column", f"""WITH {_MONTHLY} SELECT CASE k WHEN '1-URGENT' THEN 'nino12' WHEN '2-HIGH' THEN 'nino3' WHEN '3-MEDIUM' THEN 'nino34' ELSE 'nino4' END AS indicator_id, printf('%04d-%02d', y, m) AS month, {rd('v')} AS value

@@ -1,7 +1,8 @@
 """Parsers of text tables of observations, as DataFrame transformations over lines or whole texts.
 
 Lines come as rows with a column `line`; their order never matters, since every row carries its own period. A parser
-gives month and value, null where a value is missing or a sentinel.
+gives month and value, null where a value is missing or a sentinel. Columns named in `keep` stay, such as the source of
+a line where several are read together.
 """
 
 from __future__ import annotations
@@ -33,17 +34,17 @@ def missing(v: Column, low: float | None = None, high: float | None = None, size
     return F.when(~bad, v)
 
 
-def _twelve(rows: DataFrame, year: Column, cells: Column) -> DataFrame:
+def _twelve(rows: DataFrame, year: Column, cells: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per month from arrays of at least twelve cells."""
-    return rows.select(year.alias("_y"), F.posexplode(F.slice(cells, 1, 12)).alias("_m", "_v")).select(F.format_string("%04d-%02d", F.col("_y"), F.col("_m") + 1).alias("month"), F.col("_v").try_cast("double").alias("value"))
+    return rows.select(*keep, year.alias("_y"), F.posexplode(F.slice(cells, 1, 12)).alias("_m", "_v")).select(*keep, F.format_string("%04d-%02d", F.col("_y"), F.col("_m") + 1).alias("month"), F.col("_v").try_cast("double").alias("value"))
 
 
-def wide_years(lines: DataFrame, low: float | None = -99.0, high: float | None = 9999.0, size: float | None = None, exact: tuple[float, ...] = ()) -> DataFrame:
+def wide_years(lines: DataFrame, low: float | None = -99.0, high: float | None = 9999.0, size: float | None = None, exact: tuple[float, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """A table of a year and twelve values a line, by commas or white space. Other lines, markup and comments are skipped."""
     line = F.trim("line")
     cells = F.split(line, r"[\s,]+")
-    rows = lines.where(~line.rlike("^[#<]")).select(cells.alias("c")).where((F.size("c") >= 13) & F.col("c")[0].try_cast("int").isNotNull())
-    found = _twelve(rows, F.col("c")[0].try_cast("int"), F.slice("c", 2, 12))
+    rows = lines.where(~line.rlike("^[#<]")).select(*keep, cells.alias("c")).where((F.size("c") >= 13) & F.col("c")[0].try_cast("int").isNotNull())
+    found = _twelve(rows, F.col("c")[0].try_cast("int"), F.slice("c", 2, 12), keep)
     return found.withColumn("value", missing(F.col("value"), low, high, size, exact))
 
 
@@ -55,11 +56,11 @@ def wide_problems(lines: DataFrame) -> DataFrame:
     return head.select(F.explode(F.array_compact(F.array(F.when(~F.coalesce(F.col("head").rlike("^year"), F.lit(False)), "no header"), F.when(F.col("rows") == 0, "no rows")))).alias("problem"))
 
 
-def seasonal(lines: DataFrame, as_of_year: int) -> DataFrame:
+def seasonal(lines: DataFrame, as_of_year: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Season, year and value a line; the month is the season's centre; the year of as_of is preliminary."""
     c = F.split(F.trim("line"), r"\s+")
-    rows = lines.select(c.alias("c")).where(F.size("c") >= 3).select(F.col("c")[0].alias("season"), F.col("c")[1].try_cast("int").alias("y"), F.col("c")[2].try_cast("double").alias("v")).where("y is not null and v is not null")
-    return rows.select("season", F.format_string("%04d-%02d", "y", S.season_month(F.col("season"))).alias("month"), missing(F.col("v"), -99.0).alias("value"), F.when(F.col("y") >= as_of_year, "preliminary").otherwise("final").alias("flag"))
+    rows = lines.select(*keep, c.alias("c")).where(F.size("c") >= 3).select(*keep, F.col("c")[0].alias("season"), F.col("c")[1].try_cast("int").alias("y"), F.col("c")[2].try_cast("double").alias("v")).where("y is not null and v is not null")
+    return rows.select(*keep, "season", F.format_string("%04d-%02d", "y", S.season_month(F.col("season"))).alias("month"), missing(F.col("v"), -99.0).alias("value"), F.when(F.col("y") >= as_of_year, "preliminary").otherwise("final").alias("flag"))
 
 
 def weekly(lines: DataFrame) -> DataFrame:
@@ -72,23 +73,23 @@ def weekly(lines: DataFrame) -> DataFrame:
     return rows.select("day", F.explode(parts).alias("p")).select("day", "p.region", "p.value").where("value > -90")
 
 
-def monthly_sections(texts: DataFrame, marker: str | None = None, fill: float = -999.0) -> DataFrame:
+def monthly_sections(texts: DataFrame, marker: str | None = None, fill: float = -999.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Years of twelve values, fused negatives included, from whole texts (`text`), after a marker if one is given."""
     text = F.col("text")
     if marker:
         at = F.locate(marker.upper(), F.upper(text))
         text = F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(F.raise_error(F.lit(f"required section not found: {marker}")))
-    rows = texts.select(F.explode(F.split(text, "\n")).alias("line")).select(F.trim("line").alias("line")).where(F.col("line").rlike(r"^\d{4}(\D|$)"))
+    rows = texts.select(*keep, F.explode(F.split(text, "\n")).alias("line")).select(*keep, F.trim("line").alias("line")).where(F.col("line").rlike(r"^\d{4}(\D|$)"))
     values = F.regexp_extract_all(F.substring("line", 5, 10_000), F.lit(NUMBER), F.lit(0))
-    found = _twelve(rows.withColumn("v", values).where(F.size("v") >= 12), F.substring("line", 1, 4).cast("int"), F.col("v"))
+    found = _twelve(rows.withColumn("v", values).where(F.size("v") >= 12), F.substring("line", 1, 4).cast("int"), F.col("v"), keep)
     return found.withColumn("value", missing(F.col("value"), low=fill, size=1e6))
 
 
-def dated(lines: DataFrame) -> DataFrame:
+def dated(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Date and value a line, by a comma."""
     c = F.split(F.trim("line"), r"\s*,\s*")
-    rows = lines.select(F.try_to_timestamp(c[0], F.lit("yyyy-M-d")).alias("d"), c[1].try_cast("double").alias("v")).where("d is not null and v is not null")
-    return rows.select(F.date_format("d", "yyyy-MM").alias("month"), missing(F.col("v"), -99.0).alias("value"))
+    rows = lines.select(*keep, F.try_to_timestamp(c[0], F.lit("yyyy-M-d")).alias("d"), c[1].try_cast("double").alias("v")).where("d is not null and v is not null")
+    return rows.select(*keep, F.date_format("d", "yyyy-MM").alias("month"), missing(F.col("v"), -99.0).alias("value"))
 
 
 def multi_column(lines: DataFrame, columns: dict[str, int], first_year: int = 1950, exact: tuple[float, ...] = (-99.99, -999.0, -9999.0)) -> DataFrame:

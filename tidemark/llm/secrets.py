@@ -8,7 +8,8 @@ correlation. The smallest p-value, times the number of tests, is the candidate's
 
 A candidate is a secret when it looks more random than ordinary writing of its length can explain. Ordinary writing is
 decoys: the words of each document from a place given by a hash, glued with capitals as in identifiers, and cut at the
-least length of each class of lengths; to them come DECOYS glued from common words, so that a small corpus has some. The
+least length of one class of lengths, given by a hash too; to them come DECOYS glued from common words for each class, so that
+a small corpus has some. The
 share of the decoys of a class that look as random as a candidate is its p-value under "ordinary", and Benjamini and
 Hochberg's rule per class of length accepts candidates so that at most RATE of the accepted are expected to be ordinary.
 The rule needs the order of p-values only up to bins of their logarithm, so a count by class and bin, of bounded size,
@@ -56,8 +57,8 @@ SHAPES = [
 LENGTHS, BINS, RATE = (20, 24, 32, 40, 64), 8, 0.05
 LEAST_P = 1e-9
 #: Characters of a document that its decoys are glued from, decoys glued from common words, and these words.
-DECOY_SOURCE, DECOYS = 160, 2000
-COMMON_WORDS = "the of and to in is for with on by at from get set user name value index list map item file path data type id count size read write open"
+DECOY_SOURCE, DECOYS = 160, 1000
+COMMON_WORDS = "the and from with that this have will your which their time people other first about would water after where right great small house world still place again found every under might while line text page file name user list item value table state point field group level order"
 
 
 def let(value: Column, body) -> Column:
@@ -82,17 +83,21 @@ def matches(text: Column, pattern: str, group: int, kind: int, with_text: bool =
 
 
 def upper_tail(z: Column) -> Column:
-    """The share of a normal distribution above z, by a rational approximation (Abramowitz and Stegun 26.2.17)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = poly * F.exp(-z * z / 2) / 2.5066282746310002
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+    """The share of a normal distribution above z, by a rational approximation (Abramowitz and Stegun 26.2.17).
+
+    Values that a formula takes several times are computed once, as functions of arrays share no subexpressions.
+    """
+
+    def above(z: Column, t: Column) -> Column:
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return let(poly * F.exp(-z * z / 2) / 2.5066282746310002, lambda tail: F.when(z >= 0, tail).otherwise(1 - tail))
+
+    return let(z, lambda z: let(1 / (1 + 0.2316419 * F.abs(z)), lambda t: above(z, t)))
 
 
 def chi_tail(x: Column, df: Column) -> Column:
     """The upper tail of chi-squared, by Wilson and Hilferty's cube root."""
-    s = 2 / (9 * df)
-    return upper_tail((F.pow(x / df, F.lit(1 / 3)) - (1 - s)) / F.sqrt(s))
+    return let(2 / (9 * df), lambda s: upper_tail((F.pow(x / df, F.lit(1 / 3)) - (1 - s)) / F.sqrt(s)))
 
 
 def encoding(s: Column) -> Column:
@@ -109,11 +114,7 @@ def p_value(s: Column, enc: Column) -> Column:
     letters = of_encoding(enc, {name: alphabet for name, (alphabet, _) in ALPHABETS.items()})
     chars = F.split(F.when(enc == "hex", F.lower(s)).otherwise(F.translate(s, "-_", "+/")), "")
 
-    def place(c: Column) -> Column:
-        return (F.instr(letters, c) - 1).cast("double")
-
-    def tests(v: Column) -> Column:
-        n = F.size(v).cast("double")
+    def tests(v: Column, size: Column) -> Column:
         squares = F.aggregate(
             F.sort_array(v),
             F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
@@ -132,41 +133,50 @@ def p_value(s: Column, enc: Column) -> Column:
                 (a["s12"] + F.when(a["last"] >= 0, a["last"] * x).otherwise(0.0)).alias("s12"),
             ),
         )
-        uniform = chi_tail(F.greatest(size / n * squares - n, F.lit(0.0)), size - 1)
+        ends = F.element_at(v, 1) + F.element_at(v, -1)
+        measured = F.struct(F.size(v).cast("double").alias("n"), squares.alias("squares"), walk.alias("w"), ends.alias("ends"))
+
+        def least(m: Column) -> Column:
+            n, w = m["n"], m["w"]
+            uniform = chi_tail(F.greatest(size / n * m["squares"] - n, F.lit(0.0)), size - 1)
 
-        def rest(w: Column) -> Column:
-            low = n - w["high"]
-            pairs = 2 * w["high"] * low
-            spread = pairs * (pairs - n) / (n * n * (n - 1))
-            runs = F.when(spread > 0, 2 * upper_tail(F.abs(w["runs"] - 1 - pairs / n) / F.sqrt(F.when(spread > 0, spread)))).otherwise(LEAST_P)
-            mean = w["s1"] / n
-            around = w["s2"] - n * mean * mean
-            # Of neighbours: the first lacks a left one and the last a right one.
-            cross = w["s12"] - mean * (2 * w["s1"] - element(v, 1) - element(v, -1)) + (n - 1) * mean * mean
-            serial = F.when(around > 0, 2 * upper_tail(F.abs(cross / F.when(around > 0, around) + 1 / n) * F.sqrt(n))).otherwise(LEAST_P)
-            return F.least(uniform, runs, serial, class_test(s, enc, n))
+            def runs(k: Column) -> Column:
+                spread = k["pairs"] * (k["pairs"] - n) / (n * n * (n - 1))
+                return let(spread, lambda x: F.when(x > 0, 2 * upper_tail(F.abs(w["runs"] - 1 - k["pairs"] / n) / F.sqrt(F.when(x > 0, x)))).otherwise(LEAST_P))
 
-        return let(walk, rest)
+            def serial(k: Column) -> Column:
+                # Of neighbours: the first lacks a left one and the last a right one.
+                cross = w["s12"] - k["mean"] * (2 * w["s1"] - m["ends"]) + (n - 1) * k["mean"] * k["mean"]
+                around = w["s2"] - n * k["mean"] * k["mean"]
+                return let(around, lambda x: F.when(x > 0, 2 * upper_tail(F.abs(cross / F.when(x > 0, x) + 1 / n) * F.sqrt(n))).otherwise(LEAST_P))
 
-    return F.least(F.lit(1.0), F.greatest(F.lit(LEAST_P), 4 * let(F.transform(chars, place), tests)))
+            shared = F.struct((2 * w["high"] * (n - w["high"])).alias("pairs"), (w["s1"] / n).alias("mean"))
+            return let(shared, lambda k: F.least(uniform, runs(k), serial(k), class_test(s, enc, n)))
 
+        return let(measured, least)
 
-def element(v: Column, k: int) -> Column:
-    return F.element_at(v, k)
+    def battery(k: Column) -> Column:
+        return let(F.transform(chars, lambda c: (F.instr(k["letters"], c) - 1).cast("double")), lambda v: tests(v, k["size"]))
+
+    return F.least(F.lit(1.0), F.greatest(F.lit(LEAST_P), 4 * let(F.struct(size.alias("size"), letters.alias("letters")), battery)))
 
 
 def class_test(s: Column, enc: Column, n: Column) -> Column:
     """Chi-squared over the classes of characters of the alphabet."""
-    counts = [F.length(F.regexp_replace(s, f"[^{c}]", "")).cast("double") for c in ("A-Z", "a-z", "0-9", "+/_-")]
-    found = F.lit(None).cast("double")
-    for name, (alphabet, sizes) in ALPHABETS.items():
-        size = len(alphabet)
-        cells = [(c, k / size) for c, k in zip(counts, sizes) if k]
-        if name == "hex":
-            cells = [(counts[0] + counts[1], 6 / 16), (counts[2], 10 / 16)]
-        x = sum((c * c / (n * share) for c, share in cells), F.lit(0.0)) - n
-        found = F.when(enc == name, chi_tail(F.greatest(x, F.lit(0.0)), F.lit(float(len(cells) - 1)))).otherwise(found)
-    return found
+    counts = F.array(*(F.length(F.regexp_replace(s, f"[^{c}]", "")).cast("double") for c in ("A-Z", "a-z", "0-9", "+/_-")))
+
+    def of(k: Column) -> Column:
+        found = F.lit(None).cast("double")
+        for name, (alphabet, sizes) in ALPHABETS.items():
+            size = len(alphabet)
+            cells = [(k[i], x / size) for i, x in enumerate(sizes) if x]
+            if name == "hex":
+                cells = [(k[0] + k[1], 6 / 16), (k[2], 10 / 16)]
+            x = sum((c * c / (n * share) for c, share in cells), F.lit(0.0)) - n
+            found = F.when(enc == name, chi_tail(F.greatest(x, F.lit(0.0)), F.lit(float(len(cells) - 1)))).otherwise(found)
+        return found
+
+    return let(counts, of)
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,8 +263,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = common.stored(spans_of(scans), "secret-spans")
     bits = F.length("text") * of_encoding(F.col("enc"), {name: len(alphabet).bit_length() - 1 for name, (alphabet, _) in ALPHABETS.items()})
     candidates = common.stored(binned(found.where("text is not null")).where(bits >= LEAST_BITS).drop("text"), "secret-candidates")
-    written = scans.select("decoy").unionByName(common_decoys(spark))
-    cuts = written.select(F.explode(F.array(*(F.when(F.length("decoy") >= n, F.substring("decoy", 1, n)) for n in LENGTHS))).alias("text")).where("text is not null")
+    # A document stands for one class of length, by a hash; each of the common decoys for all.
+    own = F.element_at(F.array(*map(F.lit, LENGTHS)), (F.pmod(F.xxhash64("_row"), F.lit(len(LENGTHS))) + 1).cast("int"))
+    written = scans.select("decoy", own.alias("n")).unionByName(common_decoys(spark).select("decoy", F.explode(F.array(*map(F.lit, LENGTHS))).alias("n")))
+    cuts = written.where(F.length("decoy") >= F.col("n")).select(F.substring("decoy", F.lit(1), F.col("n")).alias("text"))
     accepted = limits(candidates, binned(cuts), rate)
 
     is_secret = F.lit(False)

@@ -40,10 +40,17 @@ def monthly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def on_spine(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with a row for every month between the first and the last of all keys; months without a reading are null."""
-    reach = rows.agg(F.min("month_idx").alias("a"), F.max("month_idx").alias("b"))
-    spine = rows.select(*keys).distinct().join(F.broadcast(reach)).select(*keys, F.explode(F.sequence("a", "b")).alias("month_idx"))
-    return spine.join(rows, [*keys, "month_idx"], "left")
+    """rows with a row for every month between the first and the last of all keys; months without a reading are null.
+
+    A key's months, bounded by the calendar, go through one map, so that the facts behind rows are read once and not
+    a second time for the ends of the spine.
+    """
+    others = [c for c in rows.columns if c not in (*keys, "month_idx")]
+    held = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("month_idx", F.struct(*others)))).alias("_at"), F.min("month_idx").alias("_a"), F.max("month_idx").alias("_b"))
+    every = Window.partitionBy()  # one row per key
+    reach = held.select(*keys, "_at", F.min("_a").over(every).alias("_a"), F.max("_b").over(every).alias("_b"))
+    spine = reach.select(*keys, "_at", F.explode(F.sequence("_a", "_b")).alias("month_idx"))
+    return spine.select(*keys, "month_idx", F.try_element_at("_at", F.col("month_idx")).alias("_r")).select(*keys, "month_idx", "_r.*")
 
 
 def indicator_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,16 +39,16 @@ from tidemark.llm.components import components
 WIDTH = 5
 # A link needs 4 * intersection >= 3 * union, which is 7 * intersection >= 3 * (sum of sizes).
 #: N-grams of one fragment, on average, and fragments at least.
-FRAGMENT, LEAST_FRAGMENTS = 1_500_000, 24
+FRAGMENT, LEAST_FRAGMENTS = 2_000_000, 8
 #: An n-gram is counted beforehand if a task meets it in this share of a batch's documents.
 HOT_SHARE, HOT_LEAST = 512, 1000
 #: N-grams that a task packs at once, and documents.
-PACK, PACK_DOCS = 750_000, 60_000
+PACK, PACK_DOCS = 1_000_000, 60_000
 #: Fragments in which a pair's overlap is counted: a power of two, by the n-grams that one should hold of the largest set.
 OVERLAP_NGRAMS, LEAST_BITS, MOST_BITS = 2048, 2, 6
 #: Partners of a set that one salt takes, and rows on each side of a block of a bucket.
 PARTNERS, BLOCK = 2000, 2000
-#: Sets with more than PARTNERS partners whose table is small enough to broadcast.
+#: Keys of sets, of 16 bytes, that a broadcast holds at most.
 BROADCAST_ROWS = 100_000
 
 
@@ -178,7 +178,7 @@ def fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all rows together: distinct keys, their sizes, and n-grams with the key and count of each."""
+    """Of all rows together: distinct keys, their sizes, and n-grams with the key and count of each; no counts if rows have none."""
     keys, sizes, hs, owners, counts, n = [], [], [], [], [], 0
     for row in table.select(["keys", "sizes", "h", "owner", "count"]).to_batches():
         for k, s, h, o, c in zip(*(row.column(i).to_pylist() for i in range(5))):
@@ -186,7 +186,7 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             sizes.append(numbers(s, np.uint32))
             hs.append(numbers(h, np.uint64))
             owners.append(numbers(o, np.uint16).astype(np.int32) + np.int32(n))
-            counts.append(numbers(c, np.uint32) if c else np.zeros(len(hs[-1]), np.uint32))
+            counts.append(numbers(c, np.uint32) if c else np.zeros(0, np.uint32))
             n += len(keys[-1])
     pairs = np.concatenate(keys)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
@@ -207,13 +207,16 @@ def shared_ngrams(packed: DataFrame, fragments: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         pairs, sizes, h, owner, count = unpacked(table)
         order = np.lexsort((owner, h))
-        h, owner, count = h[order], owner[order], count[order]
+        h, owner, count = h[order], owner[order], count[order] if len(count) else count
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, owner, count = h[new], owner[new], count[new]
-        start = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-        n = np.diff(start, append=len(h))
-        count = np.where(count > 0, count, np.repeat(n, n)).astype(np.uint32)
+        if not new.all():
+            h, owner, count = h[new], owner[new], count[new] if len(count) else count
+        if not len(count):  # frequent n-grams come with theirs, and in fragments of their own
+            start = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+            n = np.diff(start, append=len(h)).astype(np.uint32)
+            count = np.repeat(n, n)
+        del order, new
         keep = count > 1
         h, owner, count = h[keep], owner[keep], count[keep]
         bucket = (pairs[:, 0] % np.uint64(fragments)).astype(np.int64)[owner]
@@ -284,6 +287,9 @@ def with_segments(pairs: DataFrame, stored_pairs: DataFrame, cut: DataFrame, k:
 def linked(pairs: DataFrame, sets: DataFrame, bits: int) -> DataFrame:
     """The pairs that are links: overlaps are counted in each fragment and summed per pair."""
     pairs = common.stored(pairs.distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("key_a", "key_b")).alias("_key")).distinct()
+    if named.count() <= BROADCAST_ROWS:  # other sets stay where they are; with more, most sets have a pair
+        sets = sets.join(F.broadcast(named), "_key", "left_semi")
     fragment = F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1)))
     cut = sets.select("_key", "hs", fragment.alias("f")).select("_key", "f", F.filter("hs", lambda x: F.shiftrightunsigned(x, 64 - bits) == F.col("f")).alias("seg")).where(F.size("seg") > 0)
     parts = with_segments(with_segments(pairs, pairs, cut, "b", "a"), pairs, cut, "a", "b")

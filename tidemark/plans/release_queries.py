@@ -144,7 +144,7 @@ def _(spark, sf):
     return C.roll_up(_judged_texts(spark, sf), ("monthly",))
 
 
-# CSV services: a text per month with one grid, a text per day with the stations of that day.
+# CSV services: a text per month with one grid, texts of at most 1000 events with the stations of a day.
 
 
 def _grid_texts(spark, sf):
@@ -170,21 +170,21 @@ def _(spark, sf):
     return found.select("month_idx", "value", "point_count", "problem", "fingerprint")
 
 
-@query("station_contracts", f"""WITH e AS (SELECT ts::DATE AS day, user_id % 50 AS st, date_trunc('minute', ts) AS tm, event_id % 4 AS grade, round(value, 3) AS v FROM events),
-u AS (SELECT day, st, tm, count(*) AS n FROM e GROUP BY ALL), w AS (SELECT day, max(n) AS copies FROM u GROUP BY 1),
-g AS (SELECT day, avg(v) FILTER (WHERE grade IN (1, 2)) AS mean, count(DISTINCT st) FILTER (WHERE grade IN (1, 2)) AS n, bool_or(st = 7) AS has7 FROM e GROUP BY 1),
-p AS (SELECT g.day, mean, n, CASE WHEN day(g.day) % 9 = 4 THEN 'unit changed' WHEN day(g.day) % 9 = 5 AND has7 THEN 'no station' WHEN copies > 1 THEN 'duplicate observation' END AS problem FROM g JOIN w USING (day))
-SELECT day, {rd('CASE WHEN problem IS NULL THEN round(mean, 4) END')} AS value, CASE WHEN problem IS NULL THEN n::INT END AS station_count, problem FROM p""")
+@query("station_contracts", f"""WITH e AS (SELECT ts::DATE AS day, event_id // 1000 AS part, user_id % 50 AS st, date_trunc('minute', ts) AS tm, event_id % 4 AS grade, round(value, 3) AS v FROM events),
+u AS (SELECT day, part, st, tm, count(*) AS n FROM e GROUP BY ALL), w AS (SELECT day, part, max(n) AS copies FROM u GROUP BY 1, 2),
+g AS (SELECT day, part, avg(v) FILTER (WHERE grade IN (1, 2)) AS mean, count(DISTINCT st) FILTER (WHERE grade IN (1, 2)) AS n, bool_or(st = 7) AS has7 FROM e GROUP BY 1, 2),
+p AS (SELECT g.day, g.part, mean, n, CASE WHEN day(g.day) % 9 = 4 THEN 'unit changed' WHEN day(g.day) % 9 = 5 AND has7 THEN 'no station' WHEN copies > 1 THEN 'duplicate observation' WHEN n = 0 THEN 'no accepted values' END AS problem FROM g JOIN w USING (day, part))
+SELECT day, part::BIGINT AS part, {rd('CASE WHEN problem IS NULL THEN round(mean, 4) END')} AS value, CASE WHEN problem IS NULL THEN n::INT END AS station_count, problem FROM p""")
 def _(spark, sf):
     e = t(spark, sf, "events").select(
-        F.col("ts").cast("date").alias("day"), F.when((F.day("ts") % 9 == 5) & (F.col("user_id") % 50 == 7), "").otherwise(F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string"))).alias("station"),
+        F.col("ts").cast("date").alias("day"), F.floor(F.col("event_id") / 1000).alias("part"), F.when((F.day("ts") % 9 == 5) & (F.col("user_id") % 50 == 7), "").otherwise(F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string"))).alias("station"),
         F.date_format(F.date_trunc("minute", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), (F.col("event_id") % 4).cast("string").alias("grade"), F.format_string("%.3f", "value").alias("v"),
     )
-    body = e.groupBy("day").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", "station", F.lit("220.0"), F.lit("0.0"), "at", "v", "grade"))), "\n").alias("b"))
+    body = e.groupBy("day", "part").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", "station", F.lit("220.0"), F.lit("0.0"), "at", "v", "grade"))), "\n").alias("b"))
     units = F.when(F.day("day") % 9 == 4, ",degrees_east,degrees_north,UTC,K,").otherwise(",degrees_east,degrees_north,UTC,m,")
-    texts = body.select("day", F.concat_ws("\n", F.lit("station,longitude,latitude,time,ISO_6,QI_5006"), units, "b").alias("text"))
-    found = C.station_contract(texts.withColumnRenamed("day", "text_day"), "text_day", "ISO_6", "m", "QI_5006", F.lit("2030-01-01").cast("timestamp"))
-    return found.select(F.col("text_day").alias("day"), "value", "station_count", "problem")
+    texts = body.select(F.struct("day", "part").alias("id"), F.concat_ws("\n", F.lit("station,longitude,latitude,time,ISO_6,QI_5006"), units, "b").alias("text"))
+    found = C.station_contract(texts, "id", "ISO_6", "m", "QI_5006", F.lit("2030-01-01").cast("timestamp"))
+    return found.select("id.day", "id.part", "value", "station_count", "problem")
 
 
 # Documents: a page or bulletin per supplier.
@@ -208,7 +208,7 @@ def _(spark, sf):
     return found.withColumn("documents", F.when(F.col("problem").isNull(), F.col("documents")))
 
 
-@query("bulletin_index", """WITH n AS (SELECT n_nationkey AS page_id, s_suppkey AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey), b AS (SELECT DISTINCT page_id FROM n WHERE page_id % 9 = 0),
+@query("bulletin_index", """WITH n AS (SELECT s_suppkey // 1000 * 100 + s_nationkey AS page_id, s_suppkey AS k FROM supplier), b AS (SELECT DISTINCT page_id FROM n WHERE page_id % 9 = 0),
 r AS (SELECT page_id, strftime(DATE '2020-01-01' + (k % 2000)::INT, '%Y-%m-%d') AS period FROM n WHERE page_id % 9 <> 0 AND k % 5 <> 0), d AS (SELECT DISTINCT page_id, period FROM r)
 SELECT page_id, period, row_number() OVER (PARTITION BY page_id ORDER BY period DESC)::INT AS place, NULL::VARCHAR AS problem FROM d UNION ALL SELECT page_id, NULL, 1, 'no index' FROM b""")
 def _(spark, sf):
@@ -216,7 +216,8 @@ def _(spark, sf):
     day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 2000).cast("int")), "yyyy-MM-dd")
     host = F.when(k % 5 == 0, "elsewhere.pe").otherwise("siofen-admin.imarpe.gob.pe")
     link = F.format_string("<a href='https://%s/img/productoArchivo/BDO/BOL_IMARPE_BDO_%s.pdf'>x</a>", host, day)
-    pages = t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.collect_list(F.concat(link, link)), "").alias("h"))
+    page = (F.floor(k / 1000) * 100 + F.col("s_nationkey")).cast("long")
+    pages = t(spark, sf, "supplier").groupBy(page.alias("page_id")).agg(F.array_join(F.collect_list(F.concat(link, link)), "").alias("h"))
     html = F.concat(F.when(F.col("page_id") % 9 == 0, "<title>Just a moment...</title>").otherwise("<html>"), F.col("h"))
     found = D.bulletin_index(pages.select("page_id", html.alias("html")), "BDO")
     return found.select(F.col("page_id").cast("long").alias("page_id"), "period", "place", "problem")
@@ -375,14 +376,14 @@ def _(spark, sf):
     rendered = lambda x: F.struct(x.alias("rendered"))
     day = F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), (k % 365).cast("int")), "yyyy-MM-dd")
     post = F.struct(k.alias("id"), day.alias("date"), rendered(F.concat(F.when(k % 3 == 0, "Comunicado ").otherwise("Nota "), k.cast("string"))).alias("title"), rendered(F.lit("<p>x</p>")).alias("content"))
-    bodies = t(spark, sf, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(post)).alias("body"))
+    bodies = t(spark, sf, "supplier").groupBy(F.floor(k / 1000)).agg(F.to_json(F.collect_list(post)).alias("body"))
     return D.newest_post(bodies, "^Comunicado").select("id", "title")
 
 
 @query("newest_link", "SELECT max(2000 + s_suppkey % 20)::INT AS year, max(s_suppkey) FILTER (WHERE s_suppkey % 20 = (SELECT max(s_suppkey % 20) FROM supplier))::INT AS number FROM supplier")
 def _(spark, sf):
     link = F.format_string("<li><a class='x' href=\"/f/%d.pdf\">Boletín N° %d - %d</a>", "s_suppkey", "s_suppkey", 2000 + F.col("s_suppkey") % 20)
-    pages = t(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(link), "").alias("html"))
+    pages = t(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 1000)).agg(F.array_join(F.collect_list(link), "").alias("html"))
     return D.newest_link(pages).select("year", "number")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import aggregates as A, quality as Q, retrieval as R, windows as W
-from tidemark.plans.series_queries import IDS, month, rd, rounded
+from tidemark.plans.series_queries import IDS, rd, rounded
 from tidemark.sinks import publication as K
 from tidemark.sources import documents as D, grids as G, points as P, text_tables as T
 from tidemark.streaming import incremental as I
@@ -198,13 +198,14 @@ def _(spark, sf):
     return t(spark, sf, "pages").select("page_id", F.explode(D.links(F.col("html"))).alias("l")).groupBy("page_id", "l.href").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("page_table_cells", """WITH c AS (SELECT c_nationkey AS page, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer)
+@query("page_table_cells", """WITH c AS (SELECT c_custkey // 1000 * 100 + c_nationkey AS page, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_custkey // 1000 * 100 + c_nationkey ORDER BY c_custkey) AS r FROM customer)
 SELECT page::BIGINT AS id, 0::INT AS i_table, r::INT AS i_row, k::INT AS i_cell, [c_custkey::VARCHAR, c_name || ' & co', c_mktsegment][k + 1] AS text FROM c, (VALUES (0), (1), (2)) v(k)
 UNION ALL SELECT DISTINCT page, 0, 0, k, ['key', 'name', 'segment'][k + 1] FROM c, (VALUES (0), (1), (2)) v(k)""")
 def _(spark, sf):
-    """Pages with a table of the customers of a nation ; the raw pages are for page_table_count."""
+    """Pages with a table of customers of a nation, at most 1000 a page; the raw pages are for page_table_count."""
     row = F.format_string("<tr><td> %d <td><b>%s</b> &amp;\n co</td><td>%s</tr>", "c_custkey", "c_name", "c_mktsegment")
-    body = t(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "").alias("b"))
+    page = (F.floor(F.col("c_custkey") / 1000) * 100 + F.col("c_nationkey")).cast("long")
+    body = t(spark, sf, "customer").groupBy(page.alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "").alias("b"))
     return D.tables(body.select("page_id", F.concat(F.lit("<html><p>x</p><table><tr><th>key<th>name<th>segment</tr>"), "b", F.lit("</table>")).alias("html")), "page_id", "html")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, fertility, jaccard, langid, lexical, line_dedup, mixing, secrets, token_counts, token_files
+from tidemark.llm import bpe, exact_dedup, fertility, jaccard, langid, lexical, line_dedup, mixing, prefix_trie, quality_model, secrets, token_counts, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_language_id": langid.op10_language_id,
+        "op11_quality_model": quality_model.op11_quality_model,
+        "op12_conversation_trie": prefix_trie.op12_conversation_trie,
         "op13_lexical_search": lexical.op13_lexical_search,
     }
 
@@ -27,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.ORACLE,
         "op4_source_mixing": mixing.ORACLE,
         "op8_ngram_jaccard": jaccard.ORACLE,
+        "op12_conversation_trie": prefix_trie.ORACLE,
         "op13_lexical_search": lexical.ORACLE,
     }

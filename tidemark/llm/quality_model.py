@@ -11,7 +11,7 @@ A network with one hidden layer learns labels from at most about `SAMPLE` labell
 id; a share of them is kept back, to stop the training and to fit the temperature that divides the network's output
 before it becomes a probability. Only the sums, the sample's pooled vectors and the network reach the driver.
 
-Defined cases: null and empty texts, and those of white space only, are a vector of zeros and get its score; without
+Defined cases: null and empty texts, and those of spaces and tabs only, are a vector of zeros and get its score; without
 labels, or with labels of one value, every score is the share of that value (0.5 without any); null labels teach
 nothing; a document whose label rows disagree has the larger label; rows that repeat are scored alike; null ids are
 labelled by none; a text of any length is whole; an empty table gives an empty result; quality_scores() replaces a

@@ -6,7 +6,6 @@ from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["event_catalog", "fact_sheets", "rolling_correlation_36", "box_stats", "composite_index", "source_weekly", "area_mean_rows", "bm25_search", "session_windows", "grounding"]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def cell(v):
     return round(v, 3) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_its_oracle(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     names = sorted(df.columns)

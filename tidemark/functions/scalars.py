@@ -67,6 +67,19 @@ def thermocline(v: Column, limit: float = 5.0) -> Column:
     return two_sided(v, limit, -limit, "Termoclina más profunda de lo normal (señal de El Niño de cuenca)", "Termoclina más somera de lo normal (señal de La Niña de cuenca)", "Profundidad de la termoclina cerca de lo normal", strict=True)
 
 
+def status_category(indicator: Column, v: Column) -> Column:
+    """What the status says of an indicator's value: each by its own rule; a coastal or a basin temperature stands for its index."""
+    wind = F.when(v.isNull() | F.isnan(v), NO_DATA).when(v > 0, "Viento hacia el este (westerly)").when(v < 0, "Viento hacia el oeste (easterly)").otherwise("Calmo")
+    depth = two_sided(v, 10.0, -10.0, "Termoclina más profunda de lo normal (El Niño)", "Termoclina más somera de lo normal (La Niña)", "Termoclina cerca de la profundidad normal", strict=True)
+    return (
+        F.when(indicator.isin("icen", "nino12"), icen_category(v))
+        .when(indicator.isin("roni", "nino34"), roni_category(v))
+        .when(indicator == "soi", soi_category(v))
+        .when(indicator == "u850", wind)
+        .when(indicator == "d20", depth)
+    )
+
+
 def composite_category(v: Column) -> Column:
     found = F.lit("Neutral")
     for limit, name in reversed(COMPOSITE_COLD):

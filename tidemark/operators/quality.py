@@ -19,13 +19,27 @@ FALLBACKS = [
     ("basin_official_status", PRIMARY, "noaa-cpc-enso-advisory"), ("basin_official_status", LAST_VALID, "noaa-cpc-enso-advisory"), ("basin_official_status", UNAVAILABLE, ""),
     ("coastal_official_status", PRIMARY, "enfen-imarpe-status"), ("coastal_official_status", LAST_VALID, "enfen-imarpe-status"), ("coastal_official_status", UNAVAILABLE, ""),
 ]
-#: What must never stand for a metric.
-PROHIBITED = [("roni", "nino34-rolling-mean"), ("roni", "oni")]
+# What must never stand for a metric.
+PROHIBITED = [
+    ("roni", "nino34-rolling-mean"), ("roni", "oni"),
+    ("icen", "nino12-rolling-mean"), ("icen", "nino12-weekly"), ("icen", "nino34"),
+    ("soi", "coastal-soi"),
+    ("u850", "surface-wind"), ("u850", "wind-anomaly"), ("u850", "wind-other-region"),
+    ("d20", "d20-point"), ("d20", "d20-from-chart-colours"),
+    ("basin_official_status", "operational-signal"), ("basin_official_status", "roni-above-limit"), ("basin_official_status", "rapid-observation"),
+    ("coastal_official_status", "icen"), ("coastal_official_status", "nino12-high"),
+]
 
 
 def prohibited_uses(used: DataFrame) -> DataFrame:
     """Rows (metric_id, source_id) whose source must not stand for the metric."""
-    return used.where(F.concat_ws(" ", "metric_id", "source_id").isin(*(f"{m} {x}" for m, x in PROHIBITED)))
+    return used.where(F.struct("metric_id", "source_id").isin(*(F.struct(F.lit(m).alias("metric_id"), F.lit(x).alias("source_id")) for m, x in PROHIBITED)))
+
+
+def available_sources(outcomes: DataFrame, order: list[str]) -> DataFrame:
+    """source_id and level of what can be used: sources and caches whose last outcome is ok. outcomes: source_id, level, ok."""
+    last = outcomes.groupBy("source_id", "level").agg(F.max_by("ok", F.struct(*order)).alias("ok"))
+    return last.where("ok").select("source_id", "level")
 
 
 def fallback_table(spark: SparkSession) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 # Words that point to an indicator.
 KEYWORDS = {
-    "nino12": ("niño 1+2", "nino 1+2", "1+2", "costero", "costa", "icen"),
+    "nino12": ("niño 1+2", "nino 1+2", "1+2", "costero", "costa", "icen", "tsm costa", "tsm niño 1+2"),
     "icen": ("icen", "índice costero", "indice costero"),
-    "nino34": ("niño 3.4", "nino 3.4", "3.4", "cuenca", "roni", "oni"),
+    "nino34": ("niño 3.4", "nino 3.4", "3.4", "cuenca", "roni", "oni", "tsm cuenca", "tsm niño 3.4"),
     "roni": ("roni", "índice oceánico relativo", "indice oceanico relativo"),
     "soi": ("soi", "oscilación del sur", "oscilacion del sur", "tahiti", "darwin", "presión", "presion"),
-    "u850": ("viento", "850", "zonal", "alisio", "alisios", "westerly", "easterly"),
+    "u850": ("viento", "850", "zonal", "alisio", "alisios", "westerly", "easterly", "del oeste", "del este"),
     "d20": ("d20", "termoclina", "isoterma de 20", "isoterma 20", "subsuperficie", "subsuperficial"),
 }
 #: Words that imply the basin and the coastal index.

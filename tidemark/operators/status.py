@@ -15,13 +15,30 @@ def status_rows(points: DataFrame, as_of: Column, slo_days: int = 45, stale_days
     last = latest_known(points)
     state = freshness_state(S.month_end(F.col("month_idx")), as_of, F.lit(str(slo_days)), F.lit(str(stale_days)), F.when(F.col("flag") == "preliminary", "prelim").otherwise(""), F.lit(False))
     shown = F.when(F.col("state") != "STALE", F.col("value"))
-    return last.withColumn("state", state).select("indicator_id", "month", "state", shown.alias("value"), F.col("value").alias("last_known"), S.roni_category(shown).alias("category"))
+    return last.withColumn("state", state).select("indicator_id", "month", "state", shown.alias("value"), F.col("value").alias("last_known"), S.status_category(F.col("indicator_id"), shown).alias("category"))
 
 
-def status_document(rows: DataFrame, publication_id: str) -> DataFrame:
-    """One JSON document of all rows."""
-    listed = F.sort_array(F.collect_list(F.struct(*rows.columns)))
-    return rows.agg(F.to_json(F.struct(F.lit(publication_id).alias("publicationId"), listed.alias("indicators")), {"ignoreNullFields": "false"}).alias("json"))
+def rapid_rows(observations: DataFrame, as_of: Column, slo_days: int = 3, stale_days: int = 7) -> DataFrame:
+    """A row per daily metric: its last known day, on which a final value beats a preliminary one, with its state.
+
+    observations: metric_id, source_id, day, value, flag, point_count. A preliminary value is labelled so while it is
+    current; a stale one is shown as the last known only. These rows are context and stand for no index.
+    """
+    known = observations.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    order = F.struct("day", (F.col("flag") == "final").alias("final"), "source_id")
+    last = known.groupBy("metric_id").agg(F.max_by(F.struct("source_id", "day", "value", "flag", "point_count"), order).alias("r")).select("metric_id", "r.*")
+    state = freshness_state(F.col("day"), as_of, F.lit(str(slo_days)), F.lit(str(stale_days)), F.when(F.col("flag") == "preliminary", "prelim").otherwise(""), F.lit(False))
+    named = last.withColumn("state", state)
+    return named.select("metric_id", "source_id", "day", "flag", "state", F.when(F.col("state") != "STALE", F.col("value")).alias("value"), F.col("value").alias("last_known"), "point_count")
+
+
+def status_document(rows: DataFrame, publication_id: str, rapid: DataFrame | None = None) -> DataFrame:
+    """One JSON document of all rows, and of the rapid observations beside them."""
+    gathered = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
+    parts = gathered(rows, "indicators")
+    if rapid is not None:
+        parts = parts.crossJoin(gathered(rapid, "rapidObservations"))  # one row on either side
+    return parts.select(F.to_json(F.struct(F.lit(publication_id).alias("publicationId"), *parts.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def disagreements(status: DataFrame, points: DataFrame, tolerance: float = 0.01) -> DataFrame:

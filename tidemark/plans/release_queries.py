@@ -297,11 +297,19 @@ def _(spark, sf):
     return R.payout_scores(rows).select("k", "payout_status", "score", "rating")
 
 
-@query("prohibited_substitutions", """SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'roni' WHEN 1 THEN 'icen' ELSE 'soi' END AS metric_id, 'nino34-rolling-mean' AS source_id FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 = 0""")
+_SUBSTITUTES = ["nino34-rolling-mean", "oni", "nino12-rolling-mean", "nino12-weekly", "nino34", "coastal-soi", "surface-wind", "wind-anomaly", "wind-other-region", "d20-point", "d20-from-chart-colours", "operational-signal", "roni-above-limit", "rapid-observation", "icen", "nino12-high", "noaa-cpc-roni"]
+_METRICS = ["roni", "icen", "nino12", "nino34", "soi", "u850", "d20", "basin_official_status", "coastal_official_status"]
+
+
+@query("prohibited_substitutions", """WITH u AS (SELECT p_partkey AS k, ['roni', 'icen', 'nino12', 'nino34', 'soi', 'u850', 'd20', 'basin_official_status', 'coastal_official_status'][p_partkey % 9 + 1] AS metric_id,
+['nino34-rolling-mean', 'oni', 'nino12-rolling-mean', 'nino12-weekly', 'nino34', 'coastal-soi', 'surface-wind', 'wind-anomaly', 'wind-other-region', 'd20-point', 'd20-from-chart-colours', 'operational-signal', 'roni-above-limit', 'rapid-observation', 'icen', 'nino12-high', 'noaa-cpc-roni'][p_partkey % 17 + 1] AS source_id FROM part)
+SELECT k, metric_id, source_id FROM u WHERE metric_id = 'roni' AND source_id IN ('nino34-rolling-mean', 'oni') OR metric_id = 'icen' AND source_id IN ('nino12-rolling-mean', 'nino12-weekly', 'nino34') OR metric_id = 'soi' AND source_id = 'coastal-soi'
+OR metric_id = 'u850' AND source_id IN ('surface-wind', 'wind-anomaly', 'wind-other-region') OR metric_id = 'd20' AND source_id IN ('d20-point', 'd20-from-chart-colours')
+OR metric_id = 'basin_official_status' AND source_id IN ('operational-signal', 'roni-above-limit', 'rapid-observation') OR metric_id = 'coastal_official_status' AND source_id IN ('icen', 'nino12-high')""")
 def _(spark, sf):
-    k = F.col("s_suppkey")
-    used = t(spark, sf, "supplier").select(k.alias("k"), F.when(k % 3 == 0, "roni").when(k % 3 == 1, "icen").otherwise("soi").alias("metric_id"), F.when(k % 2 == 0, "nino34-rolling-mean").otherwise("noaa-cpc-roni").alias("source_id"))
-    return Q.prohibited_uses(used)
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    return Q.prohibited_uses(t(spark, sf, "part").select(k.alias("k"), pick(_METRICS).alias("metric_id"), pick(_SUBSTITUTES).alias("source_id")))
 
 
 @query("failure_runs", """WITH e AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok FROM events), r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM e),

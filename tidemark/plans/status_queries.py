@@ -28,15 +28,49 @@ st AS (SELECT indicator_id, month, v, CASE WHEN age > 90 THEN 'STALE' WHEN age >
 s AS (SELECT indicator_id, month, state, CASE WHEN state <> 'STALE' THEN v END AS value, v AS last_known FROM st)"""
 
 
+_CATEGORY = """CASE WHEN value IS NULL THEN 'Sin datos'
+WHEN indicator_id = 'nino12' THEN CASE WHEN abs(value) < 0.4 THEN 'Normal' ELSE CASE WHEN value >= 0 THEN 'El Niño Costero' ELSE 'La Niña Costera' END || CASE WHEN abs(value) < 1.0 THEN ' débil' WHEN abs(value) < 1.5 THEN ' moderado' WHEN abs(value) < 2.0 THEN ' fuerte' ELSE ' muy fuerte' END END
+WHEN indicator_id = 'nino34' THEN CASE WHEN value >= 0.5 THEN 'El Niño (cuenca)' WHEN value <= -0.5 THEN 'La Niña (cuenca)' ELSE 'ENSO Neutral (cuenca)' END
+WHEN indicator_id = 'soi' THEN CASE WHEN value <= -0.5 THEN 'Componente atmosférica de El Niño' WHEN value >= 0.5 THEN 'Componente atmosférica de La Niña' ELSE 'Componente atmosférica neutral' END
+WHEN indicator_id = 'u850' THEN CASE WHEN value > 0 THEN 'Viento hacia el este (westerly)' WHEN value < 0 THEN 'Viento hacia el oeste (easterly)' ELSE 'Calmo' END
+WHEN indicator_id = 'd20' THEN CASE WHEN value > 10 THEN 'Termoclina más profunda de lo normal (El Niño)' WHEN value < -10 THEN 'Termoclina más somera de lo normal (La Niña)' ELSE 'Termoclina cerca de la profundidad normal' END END"""
+_RAPID = """ro AS (SELECT CASE event_type WHEN 'view' THEN 'nino12_daily_observation' WHEN 'click' THEN 'nino34_daily_observation' ELSE 'old_daily_observation' END AS metric_id, 'src-' || user_id % 3 AS source_id, ts::DATE AS day,
+avg(value) FILTER (WHERE value > 20) AS value, CASE WHEN user_id % 2 = 0 THEN 'final' ELSE 'preliminary' END AS flag, count(*) AS point_count
+FROM events WHERE event_type IN ('view', 'click') OR event_type = 'error' AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL),
+rl AS (SELECT * FROM ro WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY metric_id ORDER BY day DESC, flag = 'final' DESC, source_id DESC) = 1),
+rr AS (SELECT metric_id, source_id, day, flag, CASE WHEN date_diff('day', day, DATE '2024-01-31') > 7 THEN 'STALE' WHEN date_diff('day', day, DATE '2024-01-31') > 3 THEN 'DELAYED' WHEN flag = 'preliminary' THEN 'PRELIMINARY' ELSE 'CURRENT' END AS state, value AS v, point_count FROM rl)"""
+
+
+def _rapid(spark, sf):
+    e = P.table(spark, sf, "events").where("event_type in ('view', 'click') or event_type = 'error' and ts < timestamp '2024-01-20'")
+    metric = F.when(F.col("event_type") == "view", "nino12_daily_observation").when(F.col("event_type") == "click", "nino34_daily_observation").otherwise("old_daily_observation")
+    keys = [metric.alias("metric_id"), F.concat(F.lit("src-"), F.col("user_id") % 3).alias("source_id"), F.col("ts").cast("date").alias("day"), F.when(F.col("user_id") % 2 == 0, "final").otherwise("preliminary").alias("flag")]
+    observed = e.groupBy(*keys).agg(F.avg(F.when(F.col("value") > 20, F.col("value"))).alias("value"), F.count(F.lit(1)).alias("point_count"))
+    return Z.rapid_rows(observed, F.lit("2024-01-31").cast("date"))
+
+
 def _status(spark, sf):
     return Z.status_rows(P.indicator_points(spark, sf), F.lit("2001-10-25").cast("date"))
 
 
-@query("status_rows", f"{_STATUS} SELECT indicator_id, month, state, {rd('value')} AS value, {rd('last_known')} AS last_known, CASE WHEN value IS NULL THEN 'Sin datos' WHEN value >= 0.5 THEN 'El Niño (cuenca)' WHEN value <= -0.5 THEN 'La Niña (cuenca)' ELSE 'ENSO Neutral (cuenca)' END AS category FROM s")
+@query("status_rows", f"{_STATUS} SELECT indicator_id, month, state, {rd('value')} AS value, {rd('last_known')} AS last_known, {_CATEGORY} AS category FROM s")
 def _(spark, sf):
     return _status(spark, sf)
 
 
+@query("rapid_observations", f"WITH {_RAPID} SELECT metric_id, source_id, day, flag, state, {rd("CASE WHEN state <> 'STALE' THEN v END")} AS value, {rd('v')} AS last_known, point_count FROM rr")
+def _(spark, sf):
+    return _rapid(spark, sf)
+
+
+@query("status_document_with_rapid", f"{_STATUS}, {_RAPID} SELECT 'indicator' AS kind, indicator_id AS name, state, {rd('last_known')} AS last_known FROM s UNION ALL SELECT 'rapid', metric_id, state, {rd('v')} FROM rr")
+def _(spark, sf):
+    kind = "publicationId string, indicators array<struct<indicator_id:string,state:string,last_known:double>>, rapidObservations array<struct<metric_id:string,state:string,last_known:double>>"
+    back = Z.status_document(_status(spark, sf), "p1", _rapid(spark, sf)).select(F.from_json("json", kind).alias("j"))
+    part = lambda kind, at: back.select(F.lit(kind).alias("kind"), F.explode(at).alias("x")).select("kind", "x.*").toDF("kind", "name", "state", "last_known")
+    return part("indicator", "j.indicators").unionByName(part("rapid", "j.rapidObservations"))
+
+
 @query("status_document", f"{_STATUS} SELECT 'p1' AS publication_id, indicator_id, month, state, {rd('value')} AS value, {rd('last_known')} AS last_known FROM s")
 def _(spark, sf):
     kind = "publicationId string, indicators array<struct<indicator_id:string,month:string,state:string,value:double,last_known:double>>"

@@ -261,4 +261,4 @@ def test_stream_upsert_prefers_final_and_is_idempotent(spark, tmp_path):
     assert sum(before[b] != after[b] for b in after) == 1 and set(before) == set(after)
     spark.createDataFrame([("o", "2026-07-02", "final", 7.0)], schema).coalesce(1).write.mode("append").parquet(source)
     run()
-    assert {r["metric"]: r["value"] for r in table.read("rows").collect()} == {"m": 1.0, "n": 6.0, "o": 7.0} and len(table.versions()) == 2
+    assert {r["metric"]: r["value"] for r in table.read("rows").collect()} == {"m": 1.0, "n": 6.0, "o": 7.0} and len(table.versions()) == 2 and table.listing().marks

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.sinks.snapshots import Snapshots
 
 
 #: Temporary folders of local sessions without one of their own, as in tests.
@@ -88,83 +89,8 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
-class Snapshots:
-    """Versions of a set of tables. A version is written beside the others and becomes current by one rename of a pointer.
-
-    publish() writes whole tables; publish_buckets() only the buckets of one table that change.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-
-    def _files(self):
-        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        files = self._files()
-        if not files.exists(self._path("current")):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(self._path("current"))]
-        return sorted(int(n) for n in names if n.isdigit())
-
-    def current(self) -> int | None:
-        found = self.versions()
-        return found[-1] if found else None
-
-    def _names(self, path) -> list[str]:
-        return [x.getPath().getName() for x in self._files().listStatus(path)]
-
-    def _pointer(self, version: int) -> list[str]:
-        return [r["value"] for r in self.spark.read.text(f"{self.folder}/current/{version}/pointer").collect()]
-
-    def _make_current(self, lines: list[str]) -> int:
-        """Writes a pointer of a few lines and renames it to the next version."""
-        version, files, draft = (self.current() or 0) + 1, self._files(), self._path(f"draft-{uuid.uuid4().hex}")
-        files.mkdirs(draft)
-        self.spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{draft.getName()}/pointer")
-        files.mkdirs(self._path("current"))
-        if not files.rename(draft, self._path(f"current/{version}")):
-            raise RuntimeError(f"version {version} was published meanwhile")
-        return version
-
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Writes all tables, then makes them current together. A failure before that leaves the last version."""
-        place = f"data-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/{place}/{name}")
-        return self._make_current([place])
-
-    def buckets(self, name: str, version: int | None = None) -> dict[int, str]:
-        """Where each bucket of a table published by buckets is."""
-        at = version or self.current()
-        cells = [x.split("\t") for x in self._pointer(at)] if at else []
-        return {int(c[1]): c[2] for c in cells if len(c) == 3 and c[0] == name}
-
-    def publish_buckets(self, name: str, rows: DataFrame, bucket_col: str, keep: int = 2) -> int:
-        """Replaces the buckets that rows has and leaves all others where they are. The last `keep` versions stay readable."""
-        place = f"data-{uuid.uuid4().hex}"
-        rows.repartition(bucket_col).write.partitionBy(bucket_col).parquet(f"{self.folder}/{place}/{name}")
-        written = [x for x in self._names(self._path(f"{place}/{name}")) if x.startswith(f"{bucket_col}=")]
-        held = self.buckets(name) | {int(x.partition("=")[2]): f"{place}/{name}/{x}" for x in written}
-        version = self._make_current([f"{name}\t{k}\t{at}" for k, at in sorted(held.items())])
-        live = {at.split("/")[0] for v in self.versions()[-keep:] for at in self.buckets(name, v).values()}
-        for old in self.versions()[:-keep]:
-            self._files().delete(self._path(f"current/{old}"), True)
-        for folder in self._names(self._path(".")):
-            if folder.startswith("data-") and folder not in live:
-                self._files().delete(self._path(folder), True)
-        return version
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        at = version or self.current()
-        held = self.buckets(name, at)
-        if held:
-            return self.spark.read.parquet(*(f"{self.folder}/{x}" for x in held.values()))
-        return self.spark.read.parquet(f"{self.folder}/{self._pointer(at)[0]}/{name}")
-
-
 def append_ledger(entries: DataFrame, folder: str) -> None:
     entries.write.mode("append").parquet(folder)
+
+
+__all__ = ["Snapshots", "append_ledger", "checksums", "export", "file_bodies", "manifest", "nested_series", "new_folder", "quoted_csv", "series_lines", "shared_dir", "stamped"]

@@ -67,21 +67,26 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
-def keep_current(spark: SparkSession, stream: DataFrame, table: Snapshots, key: str, order: list[Column], checkpoint: str, buckets: int = 64) -> None:
-    """Keeps the latest row of each key as snapshots of `table`. A batch that is handed over again changes nothing.
+def keep_current(spark: SparkSession, stream: DataFrame, table: Snapshots, key: str, order: list[Column], checkpoint: str, buckets: int = 64, name: str = "rows") -> None:
+    """Keeps the latest row of each key as a table of `table`. A batch that is handed over again changes nothing.
 
-    Keys are dealt to buckets by hash; a batch reads and rewrites the buckets of its keys only.
+    Keys are dealt to buckets by hash; a batch reads and rewrites the buckets of its keys only, and its number is noted
+    with the version. Writers of other tables or buckets don't disturb it; after one of the same buckets it runs again.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        merged, held = batch, table.buckets("rows")
-        touched = [r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most one row a bucket
-        old = [f"{table.folder}/{held[b]}" for b in touched if b in held]
-        if old:
-            merged = batch.unionByName(spark.read.parquet(*old))
-        if touched:
-            table.publish_buckets("rows", latest_by(merged, key, *order).withColumn("_bucket", bucket), "_bucket")
+        def change(own) -> None:
+            if (own.marked(checkpoint) or 0) > batch_id:
+                return
+            touched = [r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most one row a bucket
+            if touched:
+                merged = batch.unionByName(own.read(name, touched)) if own.holds(name) else batch
+                own.replace_buckets(name, latest_by(merged, key, *order).withColumn("_bucket", bucket), "_bucket")
+                own.mark(checkpoint, batch_id + 1)
+
+        if not batch.isEmpty():
+            table.update(change)
 
     run_available(stream, each, checkpoint)
 

@@ -246,7 +246,7 @@ def test_stream_upsert_prefers_final_and_is_idempotent(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("m", "2026-07-01", "final", 1.0), ("m", "2026-07-01", "preliminary", 2.0), ("n", "2026-06-01", "final", 5.0)], schema).coalesce(1).write.parquet(source)
     table = K.Snapshots(spark, str(tmp_path / "t"))
-    order = [F.desc("day"), F.desc(F.col("flag") == "final")]
+    order = [F.col("day"), F.col("flag") == "final"]
     run = lambda: I.keep_current(spark, spark.readStream.schema(schema).parquet(source), table, "metric", order, str(tmp_path / "c"))
     run()
     assert {r["metric"]: r["value"] for r in table.read("rows").collect()} == {"m": 1.0, "n": 5.0}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import segments
+
 #: Levels of a fallback.
 PRIMARY, EQUIVALENT, LOWER_CADENCE, LAST_VALID, UNAVAILABLE = range(5)
 # Metric, level, source. Level 4 is always available.
@@ -129,12 +131,13 @@ def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def failure_runs(outcomes: DataFrame, key: str, order: list[str], failures: int = 5) -> DataFrame:
+def failure_runs(outcomes: DataFrame, key: str, order: list[str], failures: int = 5, most: int = segments.MOST) -> DataFrame:
     """By source: its longest run of failures, the one it is in, and whether that is long enough for an alarm. outcomes have ok.
 
-    Runs are sums over counts by (key, run), which Spark combines before it shuffles them.
+    A run is what follows a success; runs are counted by (key, run), which Spark combines before it shuffles them, and
+    their numbers come from a scan in segments, so a source with many outcomes is no single task.
     """
-    turns = outcomes.withColumn("_run", F.sum(F.col("ok").cast("int")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    turns = segments.runs(outcomes, key, order, F.col("ok"), most).rows
     runs = turns.groupBy(key, "_run").agg(F.count_if(~F.col("ok")).alias("_n"))
     found = runs.groupBy(key).agg(F.max("_n").alias("longest"), F.max_by("_n", "_run").alias("current"))
     return found.withColumn("alarm", F.col("current") >= failures)
@@ -152,8 +155,17 @@ def watchdog(outcomes: DataFrame, key: str, order: list[str], as_of: Column, hou
 
 
 def latest_by(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each key in this order."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
+    """The row of each key with the largest values of these, nulls lowest; an aggregate, combined before it is shuffled."""
+    return _picked(rows, key, F.max_by(F.struct(*rows.columns), F.struct(*order)))
+
+
+def first_by(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The row of each key with the smallest values of these."""
+    return _picked(rows, key, F.min_by(F.struct(*rows.columns), F.struct(*order)))
+
+
+def _picked(rows: DataFrame, key: str, row: Column) -> DataFrame:
+    return rows.groupBy(F.col(key).alias("_key")).agg(row.alias("_row")).select("_row.*")
 
 
 def upsert(current: DataFrame, prior: DataFrame, key: str) -> DataFrame:

@@ -97,7 +97,7 @@ def phase_changes(points: DataFrame, limit: float = 0.5) -> DataFrame:
     return moved.where("from_phase is not null and from_phase <> to_phase").select("indicator_id", "month_idx", "month", "from_phase", "to_phase", "value")
 
 
-def alert_states(points: DataFrame, threshold: float, required: int = 3) -> DataFrame:
+def alert_states(points: DataFrame, threshold: float | Column, required: int = 3) -> DataFrame:
     """The run of months that ends with the last known one, in its direction; unknown months don't break it."""
     side = F.when(F.col("value") >= threshold, "warm").when(F.col("value") <= -threshold, "cool").otherwise("neutral")
     back = Window.partitionBy("indicator_id").orderBy(F.desc("month_idx"))
@@ -114,12 +114,9 @@ def alert_states(points: DataFrame, threshold: float, required: int = 3) -> Data
 
 
 def alert_states_of(points: DataFrame, thresholds: dict[str, float], required: int = 3) -> DataFrame:
-    """alert_states of several indicators, each by its own threshold."""
-    found = None
-    for indicator, threshold in thresholds.items():
-        part = alert_states(points.where(F.col("indicator_id") == indicator), threshold, required)
-        found = part if found is None else found.unionByName(part)
-    return found
+    """alert_states of several indicators, each by its own threshold, in one pass over the points."""
+    own = points.sparkSession.createDataFrame(list(thresholds.items()), "indicator_id string, _threshold double")
+    return alert_states(points.join(F.broadcast(own), "indicator_id"), F.col("_threshold"), required)  # a row for each given threshold
 
 
 def latest_known(points: DataFrame) -> DataFrame:
@@ -147,9 +144,3 @@ def latest_preferring_final(rows: DataFrame, key: str, date: str, flag: str = "f
     """One row per key: the latest date, on which a final value beats a preliminary one."""
     w = Window.partitionBy(key).orderBy(F.desc(date), F.desc(F.col(flag) == "final"))
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
-def timeline(rows: DataFrame, key: str, order: list[str], what: str) -> DataFrame:
-    """rows with their place in their key's order, and what came before: the path of a key as rows, not as one string."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("place", F.row_number().over(w)).withColumn("before", F.lag(what).over(w))

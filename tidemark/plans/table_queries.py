@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import aggregates as A, quality as Q, retrieval as R, windows as W
+from tidemark.operators import aggregates as A, quality as Q, retrieval as R, segments as SG, windows as W
 from tidemark.plans.series_queries import IDS, rd, rounded
 from tidemark.sinks import publication as K
 from tidemark.sources import documents as D, grids as G, points as P, text_tables as T
@@ -339,17 +339,14 @@ def _(spark, sf):
 @query("dedup_keep_first", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def _(spark, sf):
     e = t(spark, sf, "events").withColumn("k", F.struct("user_id", "event_type"))
-    return Q.latest_by(e, "k", F.col("event_id").asc()).select("user_id", "event_type", "event_id")
+    return Q.first_by(e, "k", F.col("event_id")).select("user_id", "event_type", "event_id")
 
 
 @query("asof_join", f"""SELECT e.event_id, l.event_id AS last_error FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') l ON e.user_id = l.user_id AND e.ts >= l.ts WHERE e.event_type = 'purchase'""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    e = t(spark, sf, "events").where("event_type in ('error', 'purchase')").select("event_id", "user_id", "ts", "event_type")
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") != "error").rowsBetween(Window.unboundedPreceding, 0)
-    marked = e.withColumn("last_error", F.last(F.when(F.col("event_type") == "error", F.col("event_id")), ignorenulls=True).over(w))
-    return marked.where("event_type = 'purchase'").select("event_id", "last_error")
+    e = t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    of = lambda kind: e.where(F.col("event_type") == kind).drop("event_type")
+    return SG.as_of(of("purchase"), of("error"), "user_id", "ts", "event_id", "last_error").select("event_id", "last_error")
 
 
 @query("pivot_report", "SELECT o_orderstatus, " + ", ".join(f"round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '{p}'), 0), 2) AS \"{p}\"" for p, *_ in P.INDICATORS) + " FROM orders GROUP BY 1")
@@ -369,7 +366,7 @@ def _(spark, sf):
 
 @query("grouped_timeline", "SELECT user_id, event_id, event_type, (row_number() OVER w)::INT AS place, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def _(spark, sf):
-    return W.timeline(t(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type", "place", "before")
+    return SG.timeline(t(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type", "place", "before")
 
 
 #: Sources and levels whose outcomes the events stand for, by user.
@@ -499,7 +496,7 @@ def _(spark, sf):
 def _(spark, sf):
     stream = I.table_stream(spark, sf, "events")
     table = K.Snapshots(spark, K.new_folder(spark, "current-rows"))
-    I.keep_current(spark, stream, table, "user_id", [F.desc("ts"), F.desc("event_id")], K.new_folder(spark, "stream-state"))
+    I.keep_current(spark, stream, table, "user_id", [F.col("ts"), F.col("event_id")], K.new_folder(spark, "stream-state"))
     return table.read("rows").select("user_id", "event_id")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+import urllib.parse
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,3 +101,16 @@ def grid_request(base: str, dataset: str, variable: str, south: float, north: fl
     if not (-90 <= south <= north <= 90 and west <= east):
         raise ValueError("bounds out of order")
     return f"{base}/griddap/{dataset}.csv?{variable}[last][(0.0)][({south:g}):({north:g})][({west:g}):({east:g})]"
+
+
+def station_request(base: str, dataset: str, columns: list[str], start: str, south: float, north: float, west: float, east: float, allowed: tuple[str, ...]) -> str:
+    """The address of a bounded request for the latest row of each station of a box, from a day on."""
+    if dataset not in allowed:
+        raise ValueError(f"dataset not allowed: {dataset}")
+    if not columns or not all(re.fullmatch(r"[0-9A-Za-z_]+", c) for c in columns):
+        raise ValueError("columns are names of letters, digits and _")
+    if not (-90 <= south <= north <= 90 and west <= east):
+        raise ValueError("bounds out of order")
+    limits = [("time>=", f"{datetime.date.fromisoformat(start)}T00:00:00Z"), ("latitude>=", f"{south:g}"), ("latitude<=", f"{north:g}"), ("longitude>=", f"{west:g}"), ("longitude<=", f"{east:g}")]
+    asked = "".join("&" + urllib.parse.quote(name + value, safe="") for name, value in limits)
+    return f"{base}/tabledap/{dataset}.csv?{','.join(columns)}{asked}&orderByMax({urllib.parse.quote(chr(34) + 'station,time' + chr(34), safe=',')})"

@@ -28,26 +28,31 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(common.whole(text), common.SPACE + "+", " ")
 
 
+def salt_of(salts: int) -> Column:
+    """A number below `salts` for each row, by its place: null and repeated ids spread as well. Any deal gives the same groups."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per distinct normalised text: _digest, _length, keep_id, group_size."""
     rows = docs.select(
         F.col(id_col).alias("_id"),
         normalised(text_col).alias("_norm"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("_salt"),
+        salt_of(salts).alias("_salt"),
     ).withColumn("_digest", F.unhex(F.sha2("_norm", 256)))
     salted = rows.groupBy("_digest", "_salt", "_norm").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
     merged = salted.groupBy("_digest", "_norm").agg(F.min("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
     return merged.select("_digest", F.octet_length("_norm").alias("_length"), "keep_id", "group_size")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256."""
+def _named(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """One row per row of docs: _id, _digest, _length, keep_id, group_size, kept. Of rows that repeat id and text one is kept."""
     repeated = groups(docs, id_col, text_col, salts).where("group_size > 1")
     spread = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     rows = docs.select(
         F.col(id_col).alias("_id"),
         normalised(text_col).alias("_norm"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("long").alias("_salt"),
+        salt_of(salts).alias("_salt"),
     ).select("_id", "_salt", F.unhex(F.sha2("_norm", 256)).alias("_digest"), F.octet_length("_norm").alias("_length"))
     same = Window.partitionBy("_digest", "_length", "_id").orderBy("_salt")
     return (
@@ -55,20 +60,40 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")))
         .withColumn("_first", F.row_number().over(same) == 1)
         .select(
-            F.col("_id").alias(id_col),
-            "keep_id",
+            "_id", "_digest", "_length", "keep_id",
             F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
             (F.col("_id").eqNullSafe(F.col("keep_id")) & F.col("_first")).alias("kept"),
-            F.lower(F.hex("_digest")).alias("text_sha256"),
         )
-    )
+    )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256."""
+    return _named(docs, id_col, text_col, salts).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that repeat an id and a text count once."""
-    keep = common.fresh(docs, "keep")
-    first = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias(keep))
-    return docs.join(first.distinct(), F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
+    """The rows of docs that stay, with all their columns: one row of each normalised text, whatever ids repeat or are null.
+
+    It is a row with the smallest id. A row is found by its id, digest and length; where several rows of the smallest id
+    hold the text, any one of them stays, so their other columns don't count.
+    """
+    digest, length, keep = (common.fresh(docs, x) for x in ("digest", "length", "keep"))
+    named = common.stored(_named(docs, id_col, text_col, salts).where(F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", "_digest", "_length", "kept"), "first-copies")
+    norm = common.fresh(docs, "norm")
+    marked = docs.withColumn(norm, normalised(text_col)).withColumns({digest: F.unhex(F.sha2(norm, 256)), length: F.octet_length(norm)}).drop(norm)
+    of = lambda rows: rows.select(F.col("_id").alias(keep), F.col("_digest").alias("_d"), F.col("_length").alias("_l"))
+    on = F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(digest) == F.col("_d")) & (F.col(length) == F.col("_l"))
+    found = marked.join(of(named.where("kept")), on, "left_semi")
+    several = of(named.where("not kept")).distinct()
+    if not several.isEmpty():
+        # Equal rows of one id: tasks keep one each, then salts, so that no group of them meets in one task.
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        salt = common.fresh(docs, "salt")
+        again = found.join(several, on, "left_semi").withColumn(salt, salt_of(salts))
+        one = again.groupBy(id_col, digest, length, salt).agg(F.first(F.struct(*columns)).alias("_row")).groupBy(id_col, digest, length).agg(F.first("_row").alias("_row"))
+        found = found.join(several, on, "left_anti").drop(digest, length).unionByName(one.select("_row.*"))
+    return found.select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

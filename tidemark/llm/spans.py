@@ -195,11 +195,12 @@ class Grown:
 class Resolved:
     """Ids of spans. `encode` gives the ids of some strings, one after another, and how many each has.
 
-    It is called once for a distinct span; spans are kept, with their code points, until `most` of them are held.
+    It is called once for a distinct span; spans are kept, with their code points, until `most` of them, or `most_points`
+    code points or ids, are held. Spans of over `longest` code points are encoded each time and not kept.
     """
 
-    def __init__(self, encode, most: int = 300_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 300_000, most_points: int = 4_000_000, longest: int = 1000):
+        self.encode, self.most, self.most_points, self.longest = encode, most, most_points, longest
         self.clear()
 
     def clear(self) -> None:
@@ -236,6 +237,20 @@ class Resolved:
 
     def ids(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans, in order, and how many each span has."""
+        large = ends - starts > self.longest
+        if not large.any():
+            return self._held(points, starts, ends)
+        parts = [(~large, *self._held(points, starts[~large], ends[~large])), (large, *self.encode(texts_of(points, starts[large], ends[large])))]
+        size = np.empty(len(starts), np.int64)
+        for which, _, n in parts:
+            size[which] = n
+        found, at = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
+        for which, ids, n in parts:
+            found[flat_places(at[which], n)] = ids
+        return found, size
+
+    def _held(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for spans that may be kept."""
         if not len(starts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         lengths = ends - starts
@@ -245,7 +260,8 @@ class Resolved:
         if not equal_spans(points, starts[again], points, starts[first], lengths[again], lengths[first]):
             return self._one_by_one(points, starts, ends)
         place, known = self._find(key)
-        if len(self.keys) + int((~known).sum()) > self.most:
+        more = int(lengths[at[~known]].sum())
+        if len(self.keys) + int((~known).sum()) > self.most or max(self.points.used + more, self.flat.used) > self.most_points:
             self.clear()
             place, known = self._find(key)
         held, spots = self.slots[place[known]], at[known]

@@ -46,6 +46,8 @@ HOT_SHARE, HOT_LEAST = 512, 1000
 PACK, PACK_DOCS = 1_000_000, 60_000
 #: Fragments in which a pair's overlap is counted: a power of two, by the n-grams that one should hold of the largest set.
 OVERLAP_NGRAMS, LEAST_BITS, MOST_BITS = 2048, 2, 6
+#: Frequent n-grams that are counted beforehand at most, the most frequent ones; others go through their fragments.
+HOT_MOST = 500_000
 #: Partners of a set that one salt takes, and rows on each side of a block of a bucket.
 PARTNERS, BLOCK = 2000, 2000
 #: Keys of sets, of 16 bytes, that a broadcast holds at most.
@@ -302,17 +304,30 @@ def size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
 
 
+def salted_join(rows: DataFrame, each: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows joined with each, which has one row for an n-gram, on h. An n-gram of many rows is dealt by set to as many salts as they need.
+
+    counts: h and many, the rows of each n-gram.
+    """
+    crowded = common.stored(counts.where(F.col("many") > PARTNERS).select("h", F.ceil(F.col("many") / PARTNERS).cast("int").alias("_salts")), "crowded")
+    few = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(few, "h", "left").withColumn("_salt", F.pmod(F.xxhash64("_key"), salts).cast("int")).drop("_salts")
+    right = each.join(few, "h", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, ["h", "_salt"]).drop("_salt")
+
+
 def blocked(known: DataFrame) -> DataFrame:
     """Pairs of sets of different components that share an early n-gram, without those of the largest component of each."""
-    bounds = known.groupBy("h").agg(F.min("n").alias("least_n"))
+    bounds = common.stored(known.groupBy("h").agg(F.min("n").alias("least_n"), F.count(F.lit(1)).alias("many")), "bounds")
     least = F.greatest("least_n", F.floor((3 * F.col("n") + 3) / 4))
-    able = known.join(bounds, "h").where(F.col("pos") <= F.col("n") - needed(F.col("n"), least) + 1).drop("least_n")
+    able = salted_join(known, bounds.drop("many"), bounds).where(F.col("pos") <= F.col("n") - needed(F.col("n"), least) + 1).drop("least_n")
     # Of each n-gram, the component with the most sets; all others are compared with every set not connected to them.
     sizes = able.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("many"))
-    largest = sizes.groupBy("h").agg(F.max(F.struct("many", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("many").alias("ny")).where("comps > 1")
+    largest = sizes.groupBy("h").agg(F.max(F.struct("many", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("many").alias("ny")).where("comps > 1")  # at most a row for each n-gram
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     largest = largest.select("h", F.col("top.comp").alias("top"), blocks(F.col("ny")).alias("ky"), blocks(F.col("ny") - F.col("top.many")).alias("kx"))
-    rows = common.stored(able.join(largest, "h").select("*", (F.col("comp") == F.col("top")).alias("in_top"), size_class(F.col("n")).alias("cls")), "open-candidates")
+    rows = common.stored(salted_join(able, largest, bounds).select("*", (F.col("comp") == F.col("top")).alias("in_top"), size_class(F.col("n")).alias("cls")), "open-candidates")
     upto = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     x = rows.where("not in_top").withColumn("bx", F.pmod(F.xxhash64("_key"), F.col("kx")).cast("int")).withColumn("by", upto("ky"))
     x = x.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
@@ -332,9 +347,10 @@ def join_components(sets: DataFrame, bits: int) -> DataFrame:
         "candidates",
     )
     # One leader for each n-gram: the set with the least share of n-grams of its own.
-    leaders = rows.groupBy("h").agg(F.min(F.struct("odd", "rep", "_key", "n", "pos")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1").select("h", "lead.*")
-    stars = leaders.alias("l").join(rows.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l._key") != F.col("r._key")) & early("l", "r"))
-    first = common.stored(linked(stars.select(*pair("l", "r")), sets, bits), "links")
+    leaders = rows.groupBy("h").agg(F.min(F.struct("odd", "rep", "_key", "n", "pos")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    leaders = common.stored(leaders, "leaders")
+    met = salted_join(rows.select("h", "_key", F.struct("_key", "rep", "n", "pos").alias("r")), leaders.select("h", F.col("lead").alias("l")), leaders)
+    first = common.stored(linked(met.where((F.col("l._key") != F.col("r._key")) & early("l", "r")).select(*pair("l", "r")), sets, bits), "links")
     by_first = common.stored(components(first), "components")
 
     known = rows.join(by_first, rows["rep"] == by_first["node"], "left").select(rows["*"], F.coalesce("component", "rep").alias("comp"))
@@ -352,10 +368,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     totals = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("docs"), F.coalesce(F.max("n_shingles"), F.lit(0)).alias("most")).first()
     bits = min(MOST_BITS, max(LEAST_BITS, (totals["most"] // OVERLAP_NGRAMS).bit_length()))
     fragments = max(LEAST_FRAGMENTS, -(-totals["n"] // FRAGMENT))
-    # At most HOT_SHARE times the average size of a set.
-    often = found.select(F.explode("_hot").alias("x")).groupBy("x.h").agg(F.sum("x.n").alias("n")).where(F.col("n") >= max(HOT_LEAST, totals["docs"] // HOT_SHARE)).collect()
-    hot = sorted((r["h"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in often)
-    shared_hot = spark.sparkContext.broadcast((np.array([h for h, _ in hot], np.uint64), np.array([n for _, n in hot], np.uint32)))
+    often = found.select(F.explode("_hot").alias("x")).groupBy("x.h").agg(F.sum("x.n").alias("n")).where(F.col("n") >= max(HOT_LEAST, totals["docs"] // HOT_SHARE))
+    hot = often.orderBy(F.desc("n"), "h").limit(HOT_MOST).toArrow()
+    hot_keys, hot_counts = hot.column("h").to_numpy().view(np.uint64), hot.column("n").to_numpy()
+    order = np.argsort(hot_keys)
+    shared_hot = spark.sparkContext.broadcast((hot_keys[order], hot_counts[order].astype(np.uint32)))
 
     classes = found.where("_key is not null and _id is not null").groupBy("_key").agg(F.min("_id").alias("rep"))
     packed = segments(docs, id_col, text_col, width, fragments, shared_hot)

@@ -1,10 +1,10 @@
-"""Queries of stored tables: snapshots with several writers, last valid rows."""
+"""Queries of stored tables: snapshots with several writers, last valid rows, revisions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import scalars as S
+from tidemark.operators import revisions as R
 from tidemark.plans.series_queries import rd, rounded
 from tidemark.sinks import publication as K, snapshots as N
 from tidemark.sources import points as P
@@ -75,3 +75,49 @@ def _(spark, sf):
         part = store.read(k).withColumn("state", F.lit(done[k]))
         every = part if every is None else every.unionByName(part)
     return every
+
+
+# Monthly means become known three times: half of the orders ten days after the month, all of them after sixty days,
+# and a correction of every seventh month in 1999.
+
+_STATEMENTS = """m AS (SELECT o_orderpriority AS k, date_trunc('month', o_orderdate)::DATE AS valid_from, avg(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0) / 100000 AS half, avg(o_totalprice) / 100000 AS whole FROM orders GROUP BY ALL),
+st AS (SELECT k, valid_from, half AS value, 'preliminary' AS flag, (valid_from + INTERVAL 1 MONTH + INTERVAL 10 DAY)::DATE AS known_from FROM m WHERE half IS NOT NULL
+UNION ALL SELECT k, valid_from, whole, 'final', (valid_from + INTERVAL 1 MONTH + INTERVAL 60 DAY)::DATE FROM m
+UNION ALL SELECT k, valid_from, whole + 1, 'corrected', DATE '1999-03-01' FROM m WHERE month(valid_from) = 7)"""
+
+
+def _revisions(spark, sf):
+    """The three kinds of statements, merged in the wrong order and one of them twice."""
+    m = t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k"), F.date_trunc("month", "o_orderdate").cast("date").alias("valid_from"))
+    m = m.agg((F.avg(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))) / 100000).alias("half"), (F.avg("o_totalprice") / 100000).alias("whole"))
+    after = lambda days: F.date_add(F.add_months("valid_from", 1), days)
+    said = lambda value, flag, known: m.select("k", "valid_from", F.add_months("valid_from", 1).alias("valid_to"), value.alias("value"), F.lit(flag).alias("flag"), known.alias("known_from"))
+    early = said(F.col("half"), "preliminary", after(10)).where("value is not null")
+    final = said(F.col("whole"), "final", after(60))
+    late = said(F.col("whole") + 1, "corrected", F.lit("1999-03-01").cast("date")).where("month(valid_from) = 7")
+    table = R.table(spark, K.new_folder(spark, "revisions"), "means", ["k", "valid_from", "valid_to"], ["value", "flag"], 8)
+    for batch in (final, late, early, final):
+        table.merge(batch)
+    return table
+
+
+@query("revisions_as_known", f"""WITH {_STATEMENTS}, d(known_at) AS (VALUES (DATE '1995-03-20'), (DATE '1998-12-31'), (DATE '1999-06-01'))
+SELECT known_at, k, valid_from, flag, {rd('value')} AS value FROM st CROSS JOIN d WHERE known_from <= known_at QUALIFY row_number() OVER (PARTITION BY known_at, k, valid_from ORDER BY known_from DESC) = 1""")
+def _(spark, sf):
+    table, found = _revisions(spark, sf), None
+    for day in ("1995-03-20", "1998-12-31", "1999-06-01"):
+        at = F.lit(day).cast("date")
+        part = table.as_known(at).select(at.alias("known_at"), "k", "valid_from", "flag", "value")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query("revisions_valid_at", f"WITH {_STATEMENTS} SELECT k, flag, {rd('value')} AS value FROM st WHERE known_from <= DATE '1999-06-01' AND valid_from = DATE '1996-07-01' QUALIFY row_number() OVER (PARTITION BY k ORDER BY known_from DESC) = 1")
+def _(spark, sf):
+    """What is known in 1999 of the day 1996-07-20."""
+    return _revisions(spark, sf).as_known(F.lit("1999-06-01").cast("date"), F.lit("1996-07-20").cast("date")).select("k", "flag", "value")
+
+
+@query("revision_sizes", f"WITH {_STATEMENTS} SELECT k, valid_from, count(*) - 1 AS revisions, {rd('arg_min(value, known_from)')} AS first, {rd('arg_max(value, known_from)')} AS last, {rd('arg_max(value, known_from) - arg_min(value, known_from)')} AS moved FROM st GROUP BY 1, 2")
+def _(spark, sf):
+    return R.revision_sizes(_revisions(spark, sf).rows(), ["k", "valid_from"], "value")

@@ -1,13 +1,13 @@
-"""Queries of stored tables: snapshots with several writers, last valid rows, revisions."""
+"""Queries of stored tables: snapshots with several writers, last valid rows, revisions, manifests and a text index."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import revisions as R
+from tidemark.operators import revisions as R, text_index as TI
 from tidemark.plans.series_queries import rd, rounded
-from tidemark.sinks import publication as K, snapshots as N
-from tidemark.sources import points as P
+from tidemark.sinks import manifests as M, publication as K, snapshots as N
+from tidemark.sources import grid_files as GF, points as P
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,53 @@ def _(spark, sf):
 @query("revision_sizes", f"WITH {_STATEMENTS} SELECT k, valid_from, count(*) - 1 AS revisions, {rd('arg_min(value, known_from)')} AS first, {rd('arg_max(value, known_from)')} AS last, {rd('arg_max(value, known_from) - arg_min(value, known_from)')} AS moved FROM st GROUP BY 1, 2")
 def _(spark, sf):
     return R.revision_sizes(_revisions(spark, sf).rows(), ["k", "valid_from"], "value")
+
+
+# Files of up to 1000 customers of a nation, in blocks of 256 bytes.
+
+
+def _customer_files(spark, sf, folder: str, changed: bool = False) -> None:
+    part = F.floor(F.col("c_custkey") / 1000)
+    key = F.when((F.col("c_custkey") % 1000 == 7) & F.lit(changed), -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    line = F.format_string("%08d,%d\n", key, "c_nationkey")
+    files = t(spark, sf, "customer").groupBy("c_nationkey", part.alias("part")).agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("text"))
+    GF.write_files(files.select(F.format_string("n%02d-%d.txt", "c_nationkey", "part").alias("name"), "text"), folder)
+
+
+def _files_sql(name: str, key: str) -> str:
+    return f"""{name}f AS (SELECT printf('n%02d-%d.txt', c_nationkey, c_custkey // 1000) AS file, string_agg(line, '' ORDER BY line) AS body FROM (SELECT *, printf('%08d,%d', {key}, c_nationkey) || chr(10) AS line FROM customer) GROUP BY c_nationkey, c_custkey // 1000),
+{name} AS (SELECT file, length(body) AS size, i, sha256(substr(body, (i * 256 + 1)::INT, 256)) AS s FROM {name}f, LATERAL (SELECT unnest(range(0, (length(body) + 255) // 256)) AS i))"""
+
+
+_FILES = _files_sql("b", "c_custkey")
+_CHANGED = _files_sql("n", "CASE WHEN c_custkey % 1000 = 7 THEN -c_custkey ELSE c_custkey END")
+
+
+@query("block_manifest", f"WITH {_FILES} SELECT file, any_value(size) AS length, count(*) AS n_blocks, sha256(unhex(string_agg(s, '' ORDER BY i))) AS root FROM b GROUP BY file")
+def _(spark, sf):
+    folder = K.new_folder(spark, "files")
+    _customer_files(spark, sf, folder)
+    return M.manifest(spark, folder, 256)
+
+
+@query("changed_blocks", f"WITH {_FILES}, {_CHANGED} SELECT file, i, 'changed' AS what FROM b JOIN n USING (file, i) WHERE b.s <> n.s")
+def _(spark, sf):
+    """The blocks that differ after one customer of a thousand has changed; its line moves to the front of its file."""
+    old, new = K.new_folder(spark, "files"), K.new_folder(spark, "files")
+    _customer_files(spark, sf, old)
+    _customer_files(spark, sf, new, changed=True)
+    return M.differences(M.blocks(spark, old, 256), M.blocks(spark, new, 256))
+
+
+_TERMS = "the der entre license public"
+
+
+@query("indexed_search", f"""WITH tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 3) AS t FROM documents),
+tot AS (SELECT count(*) AS nd, avg(len(t)) AS ms FROM tk), hit AS (SELECT doc_id, len(t) AS size, unnest(list_filter(t, lambda w: w IN ('the', 'der', 'entre', 'license', 'public'))) AS w FROM tk), tf AS (SELECT doc_id, size, w, count(*) AS tf FROM hit GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT doc_id, sum(ln((nd - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / ms))) AS score FROM tf JOIN df USING (w) CROSS JOIN tot GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY round(score, 9) DESC, doc_id))::INT AS rank, doc_id, {rd('score')} AS score FROM s QUALIFY rank <= 25""")
+def _(spark, sf):
+    """The same scores as bm25_search, from a stored index, for the best 25."""
+    folder = K.new_folder(spark, "text-index")
+    TI.build(t(spark, sf, "documents"), folder)
+    return TI.search(TI.load(spark, folder), _TERMS, 25)

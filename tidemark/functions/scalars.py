@@ -29,6 +29,11 @@ def known(v: Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def consistent_sign(v: Column) -> Column:
+    """An aggregate: whether all known values are finite, so that their sign can be told. Null and NaN are unknown."""
+    return F.coalesce(F.bool_and(F.abs(known(v)) < float("inf")), F.lit(True))
+
+
 def graded(v: Column, least: float, warm: str, cold: str, calm: str) -> Column:
     """Category by size and sign: calm below `least`, then the intensities."""
     sign = F.when(v >= 0, warm).otherwise(cold)

@@ -170,3 +170,33 @@ def pivot_report(df: DataFrame, rows: list[str], column: str, columns: list, val
 def run_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, sample deviation (0 for one value), least and most."""
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def base_anomalies(rows: DataFrame, key: str, first: int, last: int, mean_digits: int = 3, digits: int = 2) -> DataFrame:
+    """rows (key, year, cal_month, value) with anomaly: against the rounded mean of the month in the base years, rounded itself.
+
+    Both roundings are of decimals, ties away from zero. A month without a known value in the base years has no anomaly.
+    """
+    base = F.avg(F.when(F.col("year").between(first, last), F.col("value"))).over(Window.partitionBy(key, "cal_month"))
+    return rows.withColumn("anomaly", F.round(F.col("value") - F.round(base, mean_digits), digits))
+
+
+def against_climatology(rows: DataFrame, climatology: DataFrame, key: str, digits: int = 2) -> DataFrame:
+    """rows (key, year, cal_month, value) with anomaly: the value less the month's one of climatology (key, cal_month, value).
+
+    A climatology that lacks one of the twelve months of a key of rows, or its value, raises.
+    """
+    full = climatology.groupBy(key).agg(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("cal_month", "value"))).alias("_m"))  # twelve entries a key
+    months = F.array_distinct(F.transform("_m", lambda m: m["cal_month"]))
+    checked = full.select(F.col(key).alias("_k"), F.when(F.size(F.array_intersect(months, F.array(*(F.lit(i) for i in range(1, 13))))) == 12, F.map_from_entries("_m")).alias("_m"))
+    broken = F.raise_error(F.concat(F.lit("climatology is incomplete: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("double")
+    joined = rows.join(checked, F.col(key) == F.col("_k"), "left")
+    normal = F.when(F.col("_m").isNull(), broken).otherwise(F.try_element_at("_m", F.col("cal_month")))
+    return joined.select(*rows.columns, F.round(F.col("value") - normal, digits).alias("anomaly"))
+
+
+def year_lines(rows: DataFrame, key: str, value: str, fill: str = "-99.99", digits: int = 2) -> DataFrame:
+    """key, year, line: twelve values a year, filled where a month is unknown or absent."""
+    cells = rows.groupBy(key, "year").agg(F.map_from_entries(F.collect_list(F.struct("cal_month", value))).alias("_m"))  # twelve entries
+    texts = [F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v)).otherwise(fill) for v in (F.try_element_at("_m", F.lit(i)) for i in range(1, 13))]
+    return cells.select(key, "year", F.concat_ws(" ", F.col("year").cast("string"), *texts).alias("line"))

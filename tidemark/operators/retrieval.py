@@ -51,6 +51,37 @@ def grounding(questions: DataFrame, points: DataFrame) -> DataFrame:
     return asked.join(stats, "indicator_id").join(at, ["indicator_id", "month"], "left").select("question_id", "indicator_id", "month", "value", "mean", "least", "most")
 
 
+#: Indicators for which evidence is shown when a question names none.
+DEFAULTS = ("icen", "nino34")
+
+
+def evidence_rows(questions: DataFrame, points: DataFrame, topics: DataFrame, status: DataFrame) -> DataFrame:
+    """All evidence for questions (question_id, question), a row each: question_id, kind, id, month, value, text.
+
+    kind: status, one row that each question gets; evidence, the last known value of each indicator the question speaks of,
+    or of the default ones; calculation, the asked month's value and the statistics of each; snippet, the topics
+    (topic_id, words, text) whose words it holds. status: one row with text and month.
+    """
+    from tidemark.operators.status import topics_for
+    from tidemark.operators.windows import latest_known
+
+    asked = questions.select("question_id", detect_indicators(F.col("question")).alias("ids"), detect_month(F.col("question")).alias("month"))
+    none = F.lit(None).cast("string")
+    row = lambda df, kind, *columns: df.select("question_id", F.lit(kind).alias("kind"), *columns)
+    stated = row(asked.join(F.broadcast(status)), "status", F.lit("status").alias("id"), status["month"], F.lit(None).cast("double").alias("value"), "text")  # one row of status
+    shown = asked.select("question_id", F.explode(F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(*map(F.lit, DEFAULTS)))).alias("indicator_id"))
+    last = row(shown.join(latest_known(points), "indicator_id"), "evidence", F.col("indicator_id").alias("id"), "month", "value", F.col("flag").alias("text"))
+    named = asked.select("question_id", F.explode("ids").alias("indicator_id"), "month").where(F.col("month").isNotNull())
+    at = row(named.join(points.select("indicator_id", "month", "value"), ["indicator_id", "month"], "left"), "calculation", F.col("indicator_id").alias("id"), "month", "value", F.when(F.col("value").isNull(), "Sin datos").alias("text"))
+    stats = points.where("value is not null").groupBy("indicator_id").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    two = lambda c: F.format_string("%.2f", F.round(c, 2) + F.lit(0.0))
+    spoken = asked.select("question_id", F.explode("ids").alias("indicator_id"))
+    of = row(spoken.join(stats, "indicator_id"), "statistics", F.col("indicator_id").alias("id"), none.alias("month"), F.col("mean").alias("value"), F.concat(F.lit("media "), two("mean"), F.lit(" · mínimo "), two("least"), F.lit(" · máximo "), two("most")).alias("text"))
+    found = topics_for(questions, topics).join(topics.select("topic_id", "text"), "topic_id")
+    snippets = row(found, "snippet", F.col("topic_id").alias("id"), none.alias("month"), F.lit(None).cast("double").alias("value"), "text")
+    return stated.unionByName(last).unionByName(at).unionByName(of).unionByName(snippets)
+
+
 def answers(evidence: DataFrame) -> DataFrame:
     """One text per question, its lines in order of the indicators."""
     two = lambda c: F.format_string("%.2f", F.round(c, 2) + F.lit(0.0))

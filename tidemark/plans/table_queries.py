@@ -111,11 +111,6 @@ def _(spark, sf):
     return T.multi_column(lines, {"nino12": 3, "nino3": 5, "nino34": 7, "nino4": 9}).withColumn("value", F.col("value"))
 
 
-@query("source_table_problems", "SELECT 'no rows' AS problem")
-def _(spark, sf):
-    return T.wide_problems(spark.createDataFrame([(0, "# x"), (1, "year,1,2"), (2, "1990,3")], "n int, line string"))
-
-
 @query("published_round_trip", f"WITH {P.POINTS_SQL} SELECT indicator_id, month, {rd('round(value, 4)')} AS value, flag FROM points")
 def _(spark, sf):
     lines = K.series_lines(P.indicator_points(spark, sf), {"source": "orders", "units": "z"})

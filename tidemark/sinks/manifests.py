@@ -31,6 +31,28 @@ def files_of(folder: str) -> list[tuple[str, int]]:
     return sorted((n, s) for n, s in named if not any(part[0] in "._" for part in n.split("/")))
 
 
+def whole_digests(spark: SparkSession, folder: str, piece: int = 1 << 20) -> DataFrame:
+    """file, length, sha256 of each file as a whole, for formats that ask for that. A file is one task's, read in pieces."""
+    listed = spark.createDataFrame(files_of(folder), "file string, size long").repartition("file")
+
+    def run(batches):
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = []
+            for name in names:
+                digest = hashlib.sha256()
+                with files.open_input_stream(f"{base}/{name}") as opened:
+                    while part := opened.read(piece):
+                        digest.update(part)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], names=["file", "length", "sha256"])
+
+    return listed.mapInArrow(run, "file string, length long, sha256 string")
+
+
 def blocks(spark: SparkSession, folder: str, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
     """file, i, length, sha256 of each block, in as many tasks as asked (those of a shuffle by default)."""
     listed = spark.createDataFrame(files_of(folder), "file string, size long")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.sinks.manifests import whole_digests
 from tidemark.sinks.snapshots import Snapshots
 
 
@@ -79,18 +80,31 @@ def export(points: DataFrame, dataset: str, fmt: str, ids: list[str]) -> DataFra
     return rows.select("month", line.alias("line"))
 
 
+def data_document(points: DataFrame, dimensions: DataFrame, as_of: str) -> DataFrame:
+    """One JSON document of all series, for readers that take one: as_of and, by indicator, its description, checksum and points.
+
+    dimensions: indicator_id and what describes it. The document holds months times indicators, which calendars bound.
+    """
+    p = points.groupBy("indicator_id").agg(F.sort_array(F.collect_list(F.struct("month_idx", "month", "value", "flag"))).alias("_p"))
+    flat = F.transform("_p", lambda x: F.struct(x["month"].alias("month"), x["value"].alias("value"), x["flag"].alias("flag")))
+    described = p.join(dimensions, "indicator_id", "left")
+    extra = [c for c in dimensions.columns if c != "indicator_id"]
+    series = F.struct(F.col("indicator_id").alias("indicatorId"), *extra, S.folded_checksum(F.col("indicator_id"), flat).alias("checksum"), flat.alias("points"))
+    rows = described.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("indicator_id", series.alias("s"))))).alias("series"))
+    return rows.select(F.to_json(F.struct(F.lit(as_of).alias("asOf"), "series"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def stamped(rows: DataFrame, publication_id: str) -> DataFrame:
     return rows.withColumn("publication_id", F.lit(publication_id))
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """File, size and SHA-256 of the data files of a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    """File, size and SHA-256 of the data files of a folder. A task reads a file in pieces, so none is held whole."""
+    return whole_digests(spark, folder).where(F.col("file").startswith("part-") | F.contains("file", F.lit("/part-"))).select(F.element_at(F.split("file", "/"), -1).alias("file"), "length", "sha256")
 
 
 def append_ledger(entries: DataFrame, folder: str) -> None:
     entries.write.mode("append").parquet(folder)
 
 
-__all__ = ["Snapshots", "append_ledger", "checksums", "export", "file_bodies", "manifest", "nested_series", "new_folder", "quoted_csv", "series_lines", "shared_dir", "stamped"]
+__all__ = ["Snapshots", "append_ledger", "checksums", "data_document", "export", "file_bodies", "manifest", "nested_series", "new_folder", "quoted_csv", "series_lines", "shared_dir", "stamped"]

@@ -7,7 +7,7 @@ a line where several are read together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -48,12 +48,22 @@ def wide_years(lines: DataFrame, low: float | None = -99.0, high: float | None =
     return found.withColumn("value", missing(F.col("value"), low, high, size, exact))
 
 
-def wide_problems(lines: DataFrame) -> DataFrame:
-    """What keeps lines from being such a table: problem, a row for each. lines need a number, `n`."""
+def wide_problems(lines: DataFrame, keys: tuple[str, ...] = (), looked_at: int = 39) -> DataFrame:
+    """What keeps lines of files from being such a table: keys and problem, a row for each. lines need a number, `n`.
+
+    The first line that is no comment names the year, and one of the `looked_at` lines after it holds a year and twelve
+    cells. Each file's lines are summed up where they are: its header is the line with the least number, and the rows
+    after it are told by the numbers of the least few.
+    """
     line = F.trim("line")
     body = lines.where((line != "") & ~line.startswith("#")).withColumn("c", F.split(line, r"[\s,]+"))
-    head = body.agg(F.min_by(F.lower(F.trim("line")), "n").alias("head"), F.count_if((F.size("c") >= 13) & F.col("c")[0].try_cast("int").isNotNull()).alias("rows"))
-    return head.select(F.explode(F.array_compact(F.array(F.when(~F.coalesce(F.col("head").rlike("^year"), F.lit(False)), "no header"), F.when(F.col("rows") == 0, "no rows")))).alias("problem"))
+    good = (F.size("c") >= 13) & F.col("c")[0].try_cast("int").isNotNull()
+    # Lines before a row, of those that count: rows further on than the limit are no help.
+    own = Window.partitionBy(*keys).orderBy("n")
+    placed = body.withColumn("_at", F.row_number().over(own)).where(F.col("_at") <= looked_at + 1)
+    head = placed.groupBy(*keys).agg(F.min_by(F.lower(line), "n").alias("head"), F.count_if(good & (F.col("_at") > 1)).alias("rows"))
+    checks = F.array(F.when(~F.coalesce(F.col("head").rlike("^(year|\\d{4})"), F.lit(False)), "no header"), F.when(F.col("rows") == 0, "no rows"))
+    return head.select(*keys, F.explode(F.array_compact(checks)).alias("problem"))
 
 
 def seasonal(lines: DataFrame, as_of_year: int, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -83,3 +83,24 @@ def test_large_texts_are_measured_compared_and_named(large):
     assert comps == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
     named = {r["doc_id"]: r["lang_pred"] for r in langid.identify(large, langid.learn(large)).collect()}
     assert named[1] == named[2] == named[5] == "en"
+
+
+def test_of_two_writers_of_a_batch_one_wins(spark, tmp_path):
+    import threading
+
+    schema = "source string, lang string, tokenizer_version string, change string, n_tokens long, old_tokens long"
+    won, folder = [], str(tmp_path / "rollup")
+
+    def work(n):
+        own = token_counts.Rollup(spark, folder)
+        own.committed = lambda batch: False  # both are past the check
+        won.append(own.commit("x", spark.createDataFrame([("s", "en", "v", "insert", n, None)], schema)))
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in (1, 10, 100)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    total = token_counts.Rollup(spark, folder).totals().collect()
+    assert sorted(won) == [False, False, True] and len(total) == 1 and total[0]["docs"] == 1 and total[0]["tokens"] in (1, 10, 100)
+    assert sorted(p.name for p in (tmp_path / "rollup").iterdir()) == ["batch=x"] and not list((tmp_path / "rollup" / "batch=x").glob("attempt=*"))

@@ -1,9 +1,9 @@
 """Token counts by source, language and tokenizer version, maintained by deltas.
 
 Each batch of changes becomes signed sums: an insert adds a document and its tokens, a delete takes them away, a revised
-count adds the difference. Sums are additive, so totals are the sum over committed batches. A batch is one folder, which
-Spark's committer completes with a marker; committing an id that has its marker changes nothing, and a batch that broke
-off is written anew. compact() folds all batches into one snapshot, whose table remembers their ids, a row for each,
+count adds the difference. Sums are additive, so totals are the sum over committed batches. A batch is written to a folder
+of the attempt, which becomes the batch's by one rename: of two writers of one id one wins, and the other's folder goes.
+Committing an id that is there changes nothing, and what a broken attempt left is in no total. compact() folds all batches into one snapshot, whose table remembers their ids, a row for each,
 and then removes their folders; one that broke off after its snapshot counts no batch twice.
 
 Defined cases: a null source, language or version is a group of its own; a change of unknown kind, or with a null count,
@@ -14,6 +14,7 @@ documents stay in counted(), but for the text and those with the name of a count
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import quote, unquote
 
 import numpy as np
@@ -80,8 +81,19 @@ class Rollup:
         """Adds a batch once; False if it was there already."""
         if self.committed(batch):
             return False
-        signed(changes).write.mode("overwrite").parquet(f"{self.folder}/batch={quote(batch, safe='')}")
-        return True
+        token, target = uuid.uuid4().hex, f"batch={quote(batch, safe='')}"
+        draft, files = f"attempt={token}", self._files("")
+        signed(changes).write.parquet(f"{self.folder}/{draft}")
+        files.create(self._path(f"{draft}/_{token}")).close()
+        if files.exists(self._path(target)) and not files.exists(self._path(f"{target}/_SUCCESS")):
+            files.delete(self._path(target), True)
+        files.rename(self._path(draft), self._path(target))
+        if files.exists(self._path(f"{target}/_{token}")):
+            return True
+        # Another writer was first; a rename onto its folder fails or moves the attempt into it.
+        for left in (draft, f"{target}/{draft}"):
+            files.delete(self._path(left), True)
+        return False
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, docs, tokens."""

@@ -62,7 +62,9 @@ def event_series(points: DataFrame, peaks: DataFrame, reach: int = 24) -> DataFr
     """
     at = peaks.select("event_id", "peak_idx", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset")).withColumn("month_idx", (F.col("peak_idx") + F.col("offset")).cast("int"))
     label = F.when(F.col("offset") == 0, "Pico").when(F.col("offset") > 0, F.concat(F.lit("+"), F.col("offset").cast("string"))).otherwise(F.col("offset").cast("string"))
-    grid = at.join(points.select("indicator_id").distinct())
+    # The ids of all indicators are one short list, which goes with every row.
+    ids = points.agg(F.array_sort(F.collect_set("indicator_id")).alias("_ids"))
+    grid = at.join(F.broadcast(ids)).withColumn("indicator_id", F.explode("_ids"))
     return grid.join(points.select("indicator_id", "month_idx", "value"), ["indicator_id", "month_idx"], "left").select("event_id", "indicator_id", "offset", label.alias("label"), "value")
 
 

@@ -55,10 +55,15 @@ def deduplicated(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return timed(events, late).dropDuplicatesWithinWatermark(keys)
 
 
+def is_future(at: Column, as_of: Column, days: int = 2) -> Column:
+    """Whether a time lies more than `days` after as_of; an unknown time does not."""
+    return F.coalesce(at > as_of + F.make_dt_interval(F.lit(days)), F.lit(False))
+
+
 def split_future(events: DataFrame, as_of: Column, days: int = 2) -> tuple[DataFrame, DataFrame]:
     """Events up to `days` after as_of, and those beyond."""
-    limit = as_of + F.make_dt_interval(F.lit(days))
-    return events.where(F.col("ts") <= limit), events.where(F.col("ts") > limit)
+    late = is_future(F.col("ts"), as_of, days)
+    return events.where(~late), events.where(late)
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -108,4 +113,4 @@ def stream_to_table(spark: SparkSession, sf_dir: str, transform: Callable[[DataF
     return spark.read.schema(shaped.schema).parquet(out)
 
 
-__all__ = ["deduplicated", "event_stream", "keep_current", "run_available", "sessions", "sliding", "split_future", "stream_to_table", "table_stream", "tumbling", "upsert"]
+__all__ = ["deduplicated", "event_stream", "is_future", "keep_current", "run_available", "sessions", "sliding", "split_future", "stream_to_table", "table_stream", "tumbling", "upsert"]

@@ -111,3 +111,22 @@ def test_files_are_digested_in_pieces(spark, tmp_path):
     found = {r["file"]: (r["length"], r["sha256"]) for r in K.manifest(spark, str(tmp_path / "f")).collect()}
     want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in (tmp_path / "f").glob("part-*")}
     assert found == want and len(want) == 2
+
+
+def test_policies_from_files(spark, tmp_path):
+    from tidemark.functions import policies as PO
+    from tidemark.sources import policy_files as PF
+
+    good = """# note\npolicy_id: "a"\npolicy_name: 'A: one'\nversion: v1 # first\napplies_to: icen\ndoes_not_apply_to:\n  - "roni"\n  - soi\nrules:\n  - label: "Normal # x"\n    color: green\n    min: -0.7\n    max: 0.5\n    min_inclusive: true\n\n  - label: Rojo\n    min: 2.1\n    max: ~\n"""
+    files = {"a.yaml": good, "b.yml": good.replace('"a"', '"b"').replace("label: Rojo", "colour: red"), "c.yaml": "rules:\n  - label: x\n", "d.yaml": "policy_id: d\n", "e.yaml": good, "f.yaml": good.replace('"a"', "f").replace("-0.7", "0.7"), "g.txt": good}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    lines = PF.lines_of(spark, str(tmp_path))
+    row = PF.policies(lines).where("file = 'a.yaml'").first()
+    assert tuple(row) == ("a.yaml", "a", "A: one", "v1", "icen", ["roni", "soi"])
+    assert sorted(tuple(r) for r in PF.problems(lines).collect()) == [("a.yaml", "id is taken"), ("b.yml", "rule without a label"), ("c.yaml", "no id"), ("d.yaml", "no rules"), ("e.yaml", "id is taken"), ("f.yaml", "limits in the wrong order")]
+    (tmp_path / "e.yaml").unlink()
+    rules = PF.load(spark, str(tmp_path))
+    assert [tuple(r) for r in rules.orderBy("ord").collect()] == [("a", 0, "Normal # x", "green", -0.7, 0.5, True, False), ("a", 1, "Rojo", None, 2.1, None, False, False)]
+    values = spark.createDataFrame([("a", v) for v in (-0.7, 0.5, 2.1, 2.2, None)] + [("z", 0.0)], "policy string, value double")
+    assert [r["label"] for r in PO.classify_by_rules(values, rules).collect()] == ["Normal # x", "Sin clasificar", "Sin clasificar", "Rojo", "Sin datos", "Sin clasificar"]

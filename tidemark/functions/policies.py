@@ -38,6 +38,8 @@ POLICIES = {
     ],
 }
 UNCLASSIFIED, NO_DATA, NO_COLOUR = "Sin clasificar", "Sin datos", "gray"
+#: Policies that are sent to all tasks at most.
+BROADCAST_POLICIES = 10_000
 #: Policies of each indicator.
 BRIDGE = [("nino12", "coastal"), ("nino12", "icen_official"), ("nino34", "basin"), ("d20", "thermocline"), ("soi", "soi")]
 
@@ -71,7 +73,7 @@ def classified(v: Column, bands: list[tuple[str, float, float]]) -> Column:
 
 
 def classify_by_rules(values: DataFrame, rules: DataFrame, value_col: str = "value") -> DataFrame:
-    """The first matching rule of each row. The rules of a policy are one array, joined by the policy; their table is small and fixed."""
+    """The first matching rule of each row. The rules of a policy are one array, joined by the policy: broadcast up to BROADCAST_POLICIES of them."""
     v = F.col(value_col)
     listed = rules.groupBy("policy").agg(F.sort_array(F.collect_list(F.struct("ord", "label", "color", "least", "most", "least_in", "most_in"))).alias("_rules"))
 
@@ -79,7 +81,8 @@ def classify_by_rules(values: DataFrame, rules: DataFrame, value_col: str = "val
         low = r["least"].isNull() | F.when(r["least_in"], v >= r["least"]).otherwise(v > r["least"])
         return low & (r["most"].isNull() | F.when(r["most_in"], v <= r["most"]).otherwise(v < r["most"]))
 
-    joined = values.join(F.broadcast(listed), "policy", "left").withColumn("_rule", F.get(F.filter("_rules", fits), 0))
+    few = listed.limit(BROADCAST_POLICIES + 1).count() <= BROADCAST_POLICIES
+    joined = values.join(F.broadcast(listed) if few else listed, "policy", "left").withColumn("_rule", F.get(F.filter("_rules", fits), 0))
     return joined.select(
         *values.columns,
         F.when(v.isNull(), NO_DATA).otherwise(F.coalesce("_rule.label", F.lit(UNCLASSIFIED))).alias("label"),

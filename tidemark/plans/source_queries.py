@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import scalars as S
+from tidemark.functions import policies as PO, scalars as S
 from tidemark.operators import aggregates as A, events as E, retrieval as R
 from tidemark.plans.series_queries import CATALOG_COLUMNS, _HISTORY, rd, rounded
 from tidemark.plans.table_queries import _GRID, _KEYS, _MONTHLY, _grid, _year_lines
 from tidemark.sinks import publication as K
-from tidemark.sources import documents as D, points as P, text_tables as T
+from tidemark.sources import documents as D, grid_files as GF, points as P, policy_files as PF, text_tables as T
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,30 @@ def _(spark, sf):
 def _(spark, sf):
     rows = A.fact_sheets(P.indicator_points(spark, sf)).select("indicator_id", "latest_month", "n", "positive", "negative")
     return rows.select(K.quoted_csv(rows).alias("line"))
+
+
+# A policy file for each nation, whose limits move with its key; two of them are broken.
+
+
+@query("policy_files", """WITH c AS (SELECT c_nationkey AS k, c_acctbal AS v FROM customer WHERE c_nationkey NOT IN (3, 7)), l AS (SELECT k, CASE WHEN v < -k * 10 THEN 'Bajo' WHEN v >= -k * 10 AND v <= 4000 + k * 100 THEN 'Normal' WHEN v > 6000 AND v <= 9000 THEN 'Alto' ELSE 'Sin clasificar' END AS label FROM c)
+SELECT 'nation-' || k AS policy, label, count(*) AS n FROM l GROUP BY 1, 2""")
+def _(spark, sf):
+    """Balances of customers by the policy of their nation, as its file says."""
+    return PO.classify_by_rules(_balances(spark, sf), PF.load(spark, _policy_folder(spark, sf))).where("not policy in ('nation-3', 'nation-7')").groupBy("policy", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("policy_file_problems", """SELECT 'p' || n_nationkey || '.yaml' AS file, CASE n_nationkey WHEN 3 THEN 'no rules' ELSE 'limits in the wrong order' END AS problem FROM nation WHERE n_nationkey IN (3, 7)""")
+def _(spark, sf):
+    return PF.problems(PF.lines_of(spark, _policy_folder(spark, sf)))
+
+
+def _balances(spark, sf):
+    return t(spark, sf, "customer").select(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("policy"), F.col("c_acctbal").cast("double").alias("value"))
+
+
+def _policy_folder(spark, sf) -> str:
+    folder, k = K.new_folder(spark, "policies"), F.col("n_nationkey")
+    rules = F.format_string('rules:\n  - label: "Bajo"\n    color: "blue"\n    min: null\n    max: %d\n  - label: \'Normal\'  # as usual\n    min: %d\n    max: %d\n    min_inclusive: true\n    max_inclusive: true\n  - label: Alto\n    min: 6000.0\n    max: %d\n    max_inclusive: true\n', -k * 10, -k * 10, 4000 + k * 100, F.when(k == 7, 10).otherwise(9000))
+    text = F.concat(F.lit("# a policy\n\npolicy_id: \"nation-"), k.cast("string"), F.lit('"\nsource_description: >\n  text: over\n  lines\ndoes_not_apply_to:\n  - "roni"\n  - soi\n'), F.when(k == 3, "").otherwise(rules))
+    GF.write_files(t(spark, sf, "nation").select(F.concat(F.lit("p"), k.cast("string"), F.lit(".yaml")).alias("name"), text.alias("text")), folder)
+    return folder

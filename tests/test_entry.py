@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -101,11 +101,9 @@ def _(spark, sf):
     link = F.concat(F.when(n % 6 == 5, "https://other.org/").otherwise(f"https://{_HOST}/"), k.cast("string"))
     title = F.concat(F.when(k % 4 == 1, "Nota de prensa ").otherwise("COMUNICADO &nbsp;OFICIAL "), k.cast("string"))
     post = F.struct(k.alias("id"), day.alias("date"), day.alias("modified"), link.alias("link"), rendered(title).alias("title"), rendered(html).alias("content"))
-    posts, every = t(spark, sf, "supplier").select(n.alias("nation"), F.to_json(F.array(post)).alias("body")), None
-    for nation in range(25):  # the nations are a fixed list
-        own = D.official_post(posts.where(F.col("nation") == nation), r"(?i)COMUNICADO\s+OFICIAL", _HOST, _ALERTS).select(F.lit(nation).cast("long").alias("nation"), "problem", "id", "day", "alert", F.array_join("documents", " ").alias("documents"))
-        every = own if every is None else every.unionByName(own)
-    return every.join(posts.select("nation").distinct(), "nation", "left_semi")
+    posts = t(spark, sf, "supplier").select(n.alias("nation"), F.to_json(F.array(post)).alias("body"))
+    found = D.official_post(posts, r"(?i)COMUNICADO\s+OFICIAL", _HOST, _ALERTS, ("nation",))
+    return found.select("nation", "problem", "id", "day", "alert", F.array_join("documents", " ").alias("documents"))
 
 
 # Evidence for questions, exports.

@@ -118,7 +118,8 @@ def _(spark, sf):
     return _revisions(spark, sf).as_known(F.lit("1999-06-01").cast("date"), F.lit("1996-07-20").cast("date")).select("k", "flag", "value")
 
 
-@query("revision_sizes", f"WITH {_STATEMENTS} SELECT k, valid_from, count(*) - 1 AS revisions, {rd('arg_min(value, known_from)')} AS first, {rd('arg_max(value, known_from)')} AS last, {rd('arg_max(value, known_from) - arg_min(value, known_from)')} AS moved FROM st GROUP BY 1, 2")
+@query("revision_sizes", f"""WITH {_STATEMENTS}, ch AS (SELECT *, value IS DISTINCT FROM lag(value) OVER (PARTITION BY k, valid_from ORDER BY known_from) AS new FROM st)
+SELECT k, valid_from, count(*) FILTER (WHERE new) - 1 AS revisions, {rd('arg_min(value, known_from)')} AS first, {rd('arg_max(value, known_from)')} AS last, {rd('arg_max(value, known_from) - arg_min(value, known_from)')} AS moved FROM ch GROUP BY 1, 2""")
 def _(spark, sf):
     return R.revision_sizes(_revisions(spark, sf).rows(), ["k", "valid_from"], "value")
 

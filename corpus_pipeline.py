@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, the one with the smallest id; a null id is larger than any; of repeated rows all or none stay."""
+    """Of documents equal but for white space, one row with the smallest id; a null id is larger than any. Of rows that share that id and the text any one stays."""
     return exact_dedup.keep_first(docs)
 
 

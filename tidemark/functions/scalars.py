@@ -225,10 +225,13 @@ def month_label(month: Column) -> Column:
 
 
 def value_label(v: Column, units: Column) -> Column:
-    """A value with its sign and unit: metres with one digit, all else with two; a plus sign where the unit is known."""
+    """A value with its sign and unit: metres with one digit, all else with two; a plus sign where the unit is known.
+
+    The number is rounded once, from v as it is; the plus sign wants a value above 0 at four digits.
+    """
     sign = F.coalesce(*(F.when(units == u, x) for u, x in UNIT_SIGNS.items()), F.lit(""))
     number = F.when(units == "m", F.format_string("%.1f", F.round(v, 1) + F.lit(0.0))).otherwise(F.format_string("%.2f", F.round(v, 2) + F.lit(0.0)))
-    plus = F.when((v > 0) & (sign != ""), "+").otherwise("")
+    plus = F.when((F.round(v, 4) > 0) & (sign != ""), "+").otherwise("")
     return F.when(v.isNull() | F.isnan(v), "Sin datos").otherwise(F.rtrim(F.concat(plus, number, F.lit(" "), sign)))
 
 

@@ -275,7 +275,7 @@ def _(spark, sf):
 CASE WHEN value IS NULL THEN 'Sin datos' ELSE CASE WHEN round(value, 4) > 0 AND indicator_id <> 'soi' THEN '+' ELSE '' END || CASE WHEN indicator_id = 'd20' THEN printf('%.1f', round(value, 1) + 0.0::DOUBLE) ELSE printf('%.2f', round(value, 2) + 0.0::DOUBLE) END || CASE indicator_id WHEN 'd20' THEN ' m' WHEN 'u850' THEN ' m/s' WHEN 'soi' THEN '' ELSE ' °C' END END AS value_label FROM points""")
 def _(spark, sf):
     units = F.when(F.col("indicator_id") == "d20", "m").when(F.col("indicator_id") == "u850", "m_per_s").when(F.col("indicator_id") == "soi", "1").otherwise("degC")
-    return P.indicator_points(spark, sf).select("indicator_id", "month", S.month_label(F.col("month")).alias("month_label"), S.value_label(F.round("value", 4), units).alias("value_label"))
+    return P.indicator_points(spark, sf).select("indicator_id", "month", S.month_label(F.col("month")).alias("month_label"), S.value_label(F.col("value"), units).alias("value_label"))
 
 
 @query("asset_urls", r"""SELECT page_id, '/site/' || page_id % 7 || '/' || regexp_replace(trim(url), '^/+', '') AS address FROM pages""")

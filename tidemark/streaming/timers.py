@@ -6,7 +6,8 @@ effect, so results don't depend on how rows are dealt to batches, as long as the
 is older than the last of its key changes nothing.
 
 Defined cases: rows without a key or time are left out; a null outcome is a failure; a key without a success has no
-deadline; times count in whole milliseconds, as timers do.
+deadline; times count in whole milliseconds, as timers do; a success counts after all failures of its millisecond; a deadline
+that the watermark has not passed is open, though a failure from beyond it has come.
 """
 
 from __future__ import annotations
@@ -91,7 +92,10 @@ class Watchdog(StatefulProcessor):
             if seen is not None and at < seen:
                 continue
             seen = at
-            if last is not None and not alarm and last + self.limit < at:
+            if last is not None and not ok and at <= last:
+                continue
+            # The watermark may be behind this row, so a deadline before it is told by a success or an alarm, or else by its timer.
+            if last is not None and not alarm and last + self.limit < at and (ok or failures + 1 == self.failures):
                 alarm = "silent"
                 found.append((last + self.limit, alarm))
             if ok:
@@ -147,9 +151,9 @@ def run_changes(spark: SparkSession, changes: DataFrame, out: str, checkpoint: s
 
 
 def last_changes(spark: SparkSession, out: str) -> DataFrame:
-    """The last change of each key: key, at_ms, state. Of changes at one time the later batch counts."""
+    """The last change of each key: key, at_ms, state. Of changes at one time the later batch counts, and in it the stale or cleared state."""
     rows = spark.read.schema(f"{CHANGES}, batch long").parquet(out)
-    last = F.max_by(F.struct("at_ms", "state"), F.struct("at_ms", "batch", (F.col("state") == "STALE").alias("stale")))
+    last = F.max_by(F.struct("at_ms", "state"), F.struct("at_ms", "batch", F.col("state").isin("STALE", "cleared").alias("ends")))
     return rows.groupBy("key").agg(last.alias("r")).select("key", "r.*")
 
 

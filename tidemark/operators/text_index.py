@@ -62,24 +62,39 @@ def bucket_of(term: Column) -> Column:
 
 
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
-    """Writes an index of all documents to a folder."""
+    """Writes an index of all documents to a folder.
+
+    Texts are read and cut into words once: the counts of words by document, and the blocks, are tables in the folder
+    `building`, which is removed at the end.
+    """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
-    total = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("w")), F.lit(0.0)).alias("mean")).first()
-    tf = _counts(sized)
+    counts = _written(_counts(docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))), f"{folder}/building/counts")
+    every = counts.where("term is null")  # documents, by id and size
+    total = every.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("size") * F.col("tf")) / F.sum(F.when(F.col("size").isNotNull(), F.col("tf")))).alias("mean")).first()
     mean = total["mean"] or 1.0
+    tf = counts.where("term is not null and doc_id is not null")
     block = F.floor(F.col("doc_id") / DOCS).alias("block")
     found = tf.groupBy("term", block).agg(F.count(F.lit(1)).alias("n"), F.max(share(F.col("tf"), F.col("size"), mean)).alias("most"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "size"))).alias("postings"))  # DOCS of them at most
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    found = _written(found, f"{folder}/building/blocks")
+    df = found.groupBy("term").agg(F.sum("n").alias("df"))
     rows = found.join(df, "term").select("term", "block", "df", "most", "postings", bucket_of(F.col("term")).alias("bucket"))
     rows.repartition("bucket", F.pmod(F.xxhash64("term", "block"), F.lit(8))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
     Snapshots(spark, folder).write_text("totals", json.dumps({"n_docs": total["n"], "mean_size": mean}))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/building")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return TextIndex(spark, folder, total["n"], mean)
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _counts(sized: DataFrame) -> DataFrame:
-    """term, doc_id, size, tf of each word of each document."""
-    each = sized.where(F.col("doc_id").isNotNull()).select("doc_id", F.size("w").cast("long").alias("size"), F.explode("w").alias("term"))
+    """doc_id, size, term, tf of each word of each document, and of the null term, which each row of the documents has once."""
+    none = F.array(F.lit(None).cast("string"))
+    size = F.when(F.col("w").isNotNull(), F.size("w")).cast("long")
+    each = sized.select("doc_id", size.alias("size"), F.explode(F.concat(none, F.coalesce("w", F.array().cast("array<string>")))).alias("term"))
     return each.groupBy("doc_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -187,7 +187,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", vocabulary: str | Non
                 at += len(some)
                 yield pa.RecordBatch.from_arrays(columns, names=keep + [f.name for f in added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(spans.freed(run), schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
             listed = pa.array([hot] + [None] * (len(sizes) - 1) if sizes else [], pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), listed], names=["_id", "n_shingles", "_key", "_hot"])
 
-    return rows.mapInArrow(run, "_id long, n_shingles long, _key binary, _hot array<struct<h: long, n: long>>")
+    return rows.mapInArrow(spans.freed(run), "_id long, n_shingles long, _key binary, _hot array<struct<h: long, n: long>>")
 
 
 SEGMENTS = "frag int, keys binary, sizes binary, h binary, owner binary, count binary"
@@ -171,7 +171,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str, width: int, fragments:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, SEGMENTS)
+    return rows.mapInArrow(spans.freed(run), SEGMENTS)
 
 
 def fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:

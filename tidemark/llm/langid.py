@@ -128,7 +128,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                     sums[lang, k] = sums.get((lang, k), 0) + v
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sums], pa.string()), pa.array([x for _, x in sums], pa.int64()), pa.array(sums.values(), pa.int64())], names=["lang", "gram", "n"])
 
-    counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(spans.freed(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= size)
     found: dict[str, list[int]] = {}
     for row in top.orderBy("lang", "_r").collect():
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", widest
             added = [pa.array([x for x, _ in near], pa.string()), pa.array([x for _, x in near], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*keep, pred_col, score_col])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
+    return source.mapInArrow(spans.freed(run), T.StructType([*source.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
 
 
 def accepted(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:

@@ -7,10 +7,12 @@ unlike spans of one hash still get their own ids.
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Stands after each text; not a code point.
 END = 0x110000
@@ -24,6 +26,26 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CHUNK = 250_000
 
 
+@functools.cache
+def _trim() -> Callable | None:
+    """malloc_trim of glibc; none elsewhere."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def freed(run: Callable) -> Callable:
+    """run over the batches of a task, after which its worker gives free memory back: Spark keeps workers for later tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return wrapped
+
+
 def strings(column, rows: int = 256) -> Iterator[str]:
     """The strings of an Arrow column, a few rows at a time; empty for null."""
     for at in range(0, len(column), rows):
